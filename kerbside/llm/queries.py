@@ -33,8 +33,26 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).select("row.doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbside.llm import langid
+
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.predict(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("row.doc_id", langid.held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbside.llm import toxicity
+
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("row.doc_id", toxicity.held_out("row.doc_id").alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op8_token_counts": op8_token_counts}
+    return {"op2_bpe": op2_bpe, "op4_language_id": op4_language_id, "op8_token_counts": op8_token_counts, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
