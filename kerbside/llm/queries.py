@@ -26,6 +26,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).select(F.struct("row.doc_id").alias("row"), "ids", "decoded"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbside.llm import mixing
+
+    prepare(spark)
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("row.doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kerbside.llm import token_count
 
@@ -52,8 +59,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op4_language_id": op4_language_id, "op8_token_counts": op8_token_counts, "op10_toxicity": op10_toxicity}
+    return {"op2_bpe": op2_bpe, "op4_language_id": op4_language_id, "op6_mixing": op6_mixing, "op8_token_counts": op8_token_counts, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from kerbside.llm import mixing
+
+    return {"op6_mixing": mixing.ORACLE}
