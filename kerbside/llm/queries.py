@@ -33,6 +33,16 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbside.llm import media
+
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("string").alias("key"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("payload"))
+    found = media.described(media.store_and_read(rows))
+    return found.withColumn("doc_id", F.col("key").cast(docs.schema["doc_id"].dataType)).select("doc_id", *found.columns[1:])
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kerbside.llm import token_count
 
@@ -49,6 +59,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", langid.held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbside.llm import warc
+
+    prepare(spark)
+    return warc.archive_and_read(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kerbside.llm import toxicity
 
@@ -59,10 +76,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op4_language_id": op4_language_id, "op6_mixing": op6_mixing, "op8_token_counts": op8_token_counts, "op10_toxicity": op10_toxicity}
+    return {"op2_bpe": op2_bpe, "op4_language_id": op4_language_id, "op6_mixing": op6_mixing, "op7_media": op7_media, "op8_token_counts": op8_token_counts, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
-    from kerbside.llm import mixing
+    from kerbside.llm import mixing, warc
 
-    return {"op6_mixing": mixing.ORACLE}
+    return {"op6_mixing": mixing.ORACLE, "op9_warc": warc.ORACLE}
