@@ -19,6 +19,13 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbside.llm import embed_dedup
+
+    prepare(spark)
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kerbside.llm import bpe
 
@@ -76,7 +83,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op4_language_id": op4_language_id, "op6_mixing": op6_mixing, "op7_media": op7_media, "op8_token_counts": op8_token_counts, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
+    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_bpe": op2_bpe, "op4_language_id": op4_language_id, "op6_mixing": op6_mixing, "op7_media": op7_media, "op8_token_counts": op8_token_counts, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
