@@ -33,6 +33,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).select(F.struct("row.doc_id").alias("row"), "ids", "decoded"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbside.llm import simhash
+
+    prepare(spark)
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", simhash.hexed().alias("fingerprint"), "component_id")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kerbside.llm import mixing
 
@@ -83,7 +91,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_bpe": op2_bpe, "op4_language_id": op4_language_id, "op6_mixing": op6_mixing, "op7_media": op7_media, "op8_token_counts": op8_token_counts, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
+    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_bpe": op2_bpe, "op4_language_id": op4_language_id, "op5_simhash": op5_simhash, "op6_mixing": op6_mixing, "op7_media": op7_media, "op8_token_counts": op8_token_counts, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
