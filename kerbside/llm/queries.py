@@ -65,6 +65,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).select("row.doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbside.llm import lines
+
+    prepare(spark)
+    found = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"), F.length("kept_text").cast("long").alias("kept_chars"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kerbside.llm import langid
 
@@ -91,7 +99,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_bpe": op2_bpe, "op4_language_id": op4_language_id, "op5_simhash": op5_simhash, "op6_mixing": op6_mixing, "op7_media": op7_media, "op8_token_counts": op8_token_counts, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
+    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_bpe": op2_bpe, "op3_line_dedup": op3_line_dedup, "op4_language_id": op4_language_id, "op5_simhash": op5_simhash, "op6_mixing": op6_mixing, "op7_media": op7_media, "op8_token_counts": op8_token_counts, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
