@@ -16,7 +16,7 @@ ranked row by row.
 
 Null text has size 0, and so has a text without words; such documents get copies
 but add no words. Null sources are one source, the last. Rows that repeat are
-documents of their own. An empty table gives an empty result.
+documents of their own; those with equal id and size come out alike. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BUCKETS = 1 << 14
+#: Sources up to which the plan is broadcast.
+FEW = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -62,11 +64,14 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = M
     return ranked.withColumn("at", first["level"]).select("source", "source_size", F.least("cap", F.col("at") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, buckets: int = BUCKETS, keep: Column | None = None) -> DataFrame:
-    """Returns ``row`` (what ``keep`` gives, or the key), source, size, source_size, target, copies and taken = size * copies."""
-    u = unit(F.col(key))
-    sized = cut(docs.select((keep if keep is not None else F.struct(key)).alias("row"), F.col(key).cast("string").alias("k"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), u.alias("u")))
-    sized = sized.withColumn("bucket", F.floor(F.col("u") * buckets).cast("int"))
+def _sized(docs: DataFrame, key: str, buckets: int, *more: Column) -> DataFrame:
+    rows = docs.select(*more, F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).alias("k"), F.col("`source`").cast("string").alias("source"), word_count(F.col("`text`").cast("string")).alias("size"), unit(F.col(f"`{key}`")).alias("u"))
+    return rows.withColumn("bucket", F.floor(F.col("u") * buckets).cast("int"))
+
+
+def plan(docs: DataFrame, key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, buckets: int = BUCKETS) -> DataFrame:
+    """One row per source: source_size, target, base (certain copies), and the last document in rank order that gets one more (bucket ``edge``, then ``last``)."""
+    sized = cut(_sized(docs, key, buckets))
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -77,16 +82,33 @@ def mix(docs: DataFrame, key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS
     prefix = sums.withColumn("before", F.sum("words").over(running) - F.col("words"))
     g, s = goal.alias("g"), prefix.alias("s")
     edge = g.join(s, F.col("g.source").eqNullSafe(F.col("s.source")) & (F.col("s.before") < F.col("g.rest")), "left").groupBy("g.source").agg(F.max(F.struct("s.bucket", "s.before")).alias("edge"))
-    plan = goal.alias("g").join(edge.alias("e"), F.col("g.source").eqNullSafe(F.col("e.source"))).select("g.*", F.coalesce("e.edge.bucket", F.lit(-1)).alias("edge"), (F.col("rest") - F.coalesce("e.edge.before", F.lit(0))).alias("need"))
+    found = goal.alias("g").join(edge.alias("e"), F.col("g.source").eqNullSafe(F.col("e.source"))).select("g.*", F.coalesce("e.edge.bucket", F.lit(-1)).alias("edge"), (F.col("rest") - F.coalesce("e.edge.before", F.lit(0))).alias("need"))
+    found = cut(found)
 
-    rows = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.row", "d.k", "d.source", "d.size", "d.u", "d.bucket", "p.source_size", "p.target", "p.base", "p.p", "p.edge", "p.need")
-    clear = rows.where(F.col("bucket") != F.col("edge")).withColumn("copies", F.col("base") + (F.col("bucket") < F.col("edge")).cast("long"))
+    # within that bucket, the last document that brings the words nearest to the target
+    close = sized.alias("d").join(found.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.bucket") == F.col("p.edge"))).select("d.source", "d.k", "d.size", "d.u", "p.p", "p.need")
     odds = (F.col("u") / (1 - F.col("u"))) / (F.greatest("p", F.lit(1e-12)) / F.greatest(1 - F.col("p"), F.lit(1e-12)))
+    close = close.withColumn("odds", odds)
     order = Window.partitionBy("source").orderBy("odds", "k", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    close = rows.where(F.col("bucket") == F.col("edge")).withColumn("odds", odds)
-    close = close.withColumn("upto", F.sum("size").over(order)).withColumn("copies", F.col("base") + (F.col("upto") - F.col("size") / 2.0 <= F.col("need")).cast("long"))
-    out = ["row", "source", "size", "source_size", "target", "copies"]
-    return clear.select(*out).unionByName(close.select(*out)).withColumn("copies", F.least("copies", F.lit(most)).cast("long")).withColumn("taken", F.col("size") * F.col("copies"))
+    taken = close.withColumn("upto", F.sum("size").over(order)).where(F.col("upto") - F.col("size") / 2.0 <= F.col("need"))
+    last = taken.groupBy("source").agg(F.max(F.struct("odds", "k", "size")).alias("last"))
+    return cut(found.alias("p").join(last.alias("l"), F.col("p.source").eqNullSafe(F.col("l.source")), "left").select("p.source", "p.source_size", "p.target", "p.base", "p.p", "p.edge", "l.last"))
+
+
+def mix(docs: DataFrame, key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, buckets: int = BUCKETS) -> DataFrame:
+    """Returns ``row`` (all columns of ``docs``), source, size, source_size, target, copies and taken = size * copies.
+
+    Documents meet the plan where they are read: it is broadcast if it has at
+    most ``FEW`` sources, joined by source beyond.
+    """
+    found = plan(docs, key, weights, most, buckets).withColumnRenamed("source", "of")
+    found = F.broadcast(found) if found.count() <= FEW else found
+    rows = _sized(docs, key, buckets, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(found, F.col("source").eqNullSafe(F.col("of")))
+    odds = (F.col("u") / (1 - F.col("u"))) / (F.greatest("p", F.lit(1e-12)) / F.greatest(1 - F.col("p"), F.lit(1e-12)))
+    extra = (F.col("bucket") < F.col("edge")) | ((F.col("bucket") == F.col("edge")) & F.coalesce(F.struct(odds.alias("odds"), "k", "size") <= F.col("last"), F.lit(False)))
+    copies = F.least(F.col("base") + extra.cast("long"), F.lit(most)).cast("long")
+    return rows.select("row", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
 ORACLE = r"""

@@ -166,15 +166,26 @@ def links(fps: DataFrame, crowd: int = CROWD, whole_ball: bool = False) -> DataF
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``row`` (key and the columns named in ``keep``), fp, component_id: the smallest key reachable, itself included."""
+    """``row`` (key and the columns named in ``keep``), fp, component_id (the smallest key reachable, itself included) and root, the group's smallest fingerprint."""
     names = list(dict.fromkeys([key, *(keep or [])]))
     marked = cut(fingerprints(docs.select(*names, *([text] if text not in names else [])), text))
     first = cut(marked.groupBy("fp").agg(F.min(f"row.{key}").alias("low")))
     roots = components(links(first.select("fp")))
     of = first.join(roots, first["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     low = of.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = of.join(low, "root").select(F.col("fp").alias("of"), "component_id")
-    return marked.join(named, F.col("fp") == F.col("of")).select("row", "fp", "component_id")
+    named = of.join(low, "root").select(F.col("fp").alias("of"), "component_id", "root")
+    return marked.join(named, F.col("fp") == F.col("of")).select("row", "fp", "component_id", "root")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` of which one stays for each group of near duplicates: that with the smallest key, then hash of the text."""
+    own = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("tk"))
+    found = near_duplicates(own, "key", "text", ["tk"])
+    stay = cut(found.groupBy("root").agg(F.min(F.struct("row.key", "row.tk")).alias("s")).select("s.*"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").alias("k"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("t"))
+    rows = rows.join(stay, F.col("k").eqNullSafe(F.col("key")) & (F.col("t") == F.col("tk")), "left_semi")
+    # rows that repeat whole are one document
+    return rows.dropDuplicates(["k", "t"]).select("row.*")
 
 
 def hexed(fp: str = "fp"):
