@@ -34,9 +34,11 @@ from pyspark.sql import functions as F
 from kerbside.llm.components import components
 from kerbside.runtime import cut
 
-WORDS, SEED, RADIUS, CROWD = 4, 42, 4, 32
+WORDS, SEED, RADIUS, CROWD = 4, 42, 4, 2
 #: Shingles hashed before they are added up.
 STEP = 1 << 15
+#: Fingerprints whose ties a task remembers, so as not to repeat what is connected already.
+KNOWN = 200_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -113,9 +115,25 @@ def meet(variants: DataFrame, crowd: int, certain: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held_fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        def news(a: int, b: int) -> bool:
+            """Whether a and b were not connected yet by what this task has put out."""
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+            return a != b
 
         def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
             both = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+            if certain:
+                if len(parent) > KNOWN:
+                    parent.clear()
+                both = both[np.array([news(x, y) for x, y in both.tolist()], bool)] if len(both) else both
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
         for batch in batches:
@@ -152,7 +170,8 @@ def full_ball(fps: DataFrame) -> DataFrame:
     """All 2,081 variants within two bits of the 64."""
     single = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << k)).cast("long") for k in range(64)])
     first = fps.select("fp", F.posexplode(single).alias("i", "m"))
-    second = first.select("fp", "i", "m", F.posexplode(single).alias("j", "n")).where("j = 0 or (i > j)")
+    # no flip, or any flip with no second one or a lower one: 1 + 64 + 2016
+    second = first.select("fp", "m", F.explode(F.slice(single, 1, F.greatest("i", F.lit(1)))).alias("n"))
     return second.select(F.col("fp").bitwiseXOR(F.col("m")).bitwiseXOR(F.col("n")).alias("key"), "fp")
 
 
