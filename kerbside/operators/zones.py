@@ -117,7 +117,7 @@ def palette(boxes: DataFrame, colours: int = PALETTE) -> DataFrame:
             taken.append(next((c for c in range(colours) if c not in used), i % colours))
         return pd.DataFrame({"zone_id": group["zone_id"], "palette": np.array(taken, np.int32)})
 
-    return boxes.groupBy(F.lit(0)).applyInPandas(colour, "zone_id string, palette int")
+    return boxes.groupBy(F.lit("all").alias("all")).applyInPandas(colour, "zone_id string, palette int")
 
 
 def split_streets(zones: DataFrame, faces: DataFrame) -> DataFrame:
