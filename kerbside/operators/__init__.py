@@ -1,0 +1 @@
+"""Distributed operators over doors, streets and faces."""

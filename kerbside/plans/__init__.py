@@ -1,0 +1 @@
+"""Composed questions: reports, the district, registered queries."""

@@ -1,0 +1 @@
+"""Nothing streams here: questions are answered over immutable snapshots, which ``District.reload`` replaces when their file changes."""
