@@ -7,8 +7,10 @@ they meet in the middle: every distinct fingerprint emits, for each half, all
 variants within half of that radius (1 + 32 of them), rows are dealt by variant,
 and colliding pairs are verified on all 64 bits, once each way they collide.
 
-A variant at which more than ``CROWD`` fingerprints meet is not expanded into
-pairs. Its fingerprints emit the whole ball instead, all 2,081 variants within 2
+Comparison happens within a task, which puts out only the links that connect what
+it has not connected yet, so no group of copies becomes a table of pairs. A
+variant at which more than ``CROWD`` fingerprints meet is not compared in pairs
+at all. Its fingerprints emit the whole ball instead, all 2,081 variants within 2
 bits of the 64: any two that meet at one of these are within 4 bits for certain,
 and any two within 4 bits meet, so each is tied to the smallest one there and no
 pair is formed. Both ways are exact; together no link is lost.
@@ -34,7 +36,9 @@ from pyspark.sql import functions as F
 from kerbside.llm.components import components
 from kerbside.runtime import cut
 
-WORDS, SEED, RADIUS, CROWD = 4, 42, 4, 2
+WORDS, SEED, RADIUS, CROWD = 4, 42, 4, 1024
+#: Fingerprints at one variant up to which pairs are compared for many variants at once.
+FEW = 8
 #: Shingles hashed before they are added up.
 STEP = 1 << 15
 #: Fingerprints whose ties a task remembers, so as not to repeat what is connected already.
@@ -88,7 +92,7 @@ def meet(variants: DataFrame, crowd: int, certain: bool) -> DataFrame:
     """variants: ``key``, ``fp``. Returns edges a, b; a = b marks a fingerprint that met more than ``crowd`` others.
 
     One shuffle, dealt by variant and sorted; a task walks its runs of equal
-    keys as they stream past and holds at most one batch and the head of a run.
+    keys as they stream past and holds at most one batch and ``crowd`` + 1 of a run.
     certain: all that meet are linked, so each goes with the run's first and no
     run counts as crowded.
     """
@@ -101,9 +105,15 @@ def meet(variants: DataFrame, crowd: int, certain: bool) -> DataFrame:
             at = fp != first
             return fp[at], first[at]
         left, right = [fp[size > crowd]], [fp[size > crowd]]
-        small = (size > 1) & (size <= crowd)
+        for at, n in zip(starts[(lengths > FEW) & (lengths <= crowd)].tolist(), lengths[(lengths > FEW) & (lengths <= crowd)].tolist(), strict=True):
+            own = fp[at : at + n]
+            i, j = np.nonzero(np.triu(np.bitwise_count((own[:, None] ^ own[None, :]).view(np.uint64)) <= RADIUS, 1))
+            left.append(own[j])
+            right.append(own[i])
+        few = min(FEW, crowd)
+        small = (size > 1) & (size <= few)
         key, fp = key[small], fp[small]
-        for lag in range(1, min(crowd, len(key))):
+        for lag in range(1, min(few, len(key))):
             same = key[lag:] == key[:-lag]
             if not same.any():
                 break
@@ -130,10 +140,10 @@ def meet(variants: DataFrame, crowd: int, certain: bool) -> DataFrame:
 
         def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
             both = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            if certain:
-                if len(parent) > KNOWN:
-                    parent.clear()
-                both = both[np.array([news(x, y) for x, y in both.tolist()], bool)] if len(both) else both
+            if len(parent) > KNOWN:
+                parent.clear()
+            if len(both):
+                both = both[np.array([x == y or news(x, y) for x, y in both.tolist()], bool)]
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
         for batch in batches:
