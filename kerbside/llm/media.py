@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from kerbside.llm.storage import resolve
+from kerbside.llm.storage import discard_at_exit, resolve
 from kerbside.runtime import shared_folder
 
 LINE = 64
@@ -242,8 +242,9 @@ def described(media: DataFrame) -> DataFrame:
 
 
 def store_and_read(rows: DataFrame) -> DataFrame:
-    """Write the payloads of ``rows`` (key, payload) to the shared folder and read them back."""
+    """Write the payloads of ``rows`` (key, payload) to the shared folder, for as long as the driver runs, and read them back."""
     folder = shared_folder(rows.sparkSession, "media")
+    discard_at_exit(folder)
     return read_archives(rows.sparkSession, write_archives(rows, folder), folder)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 
 import pyarrow.fs as pafs
@@ -16,8 +18,12 @@ def resolve(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), uri
 
 
-def sizes(uri: str, suffix: str) -> list[tuple[str, int]]:
-    """Path and size of every file with the suffix below the folder, by path; none for a missing folder."""
-    fs, path = resolve(uri)
-    found = fs.get_file_info(pafs.FileSelector(path, allow_not_found=True, recursive=True))
-    return sorted((i.path, i.size) for i in found if i.type == pafs.FileType.File and i.path.endswith(suffix))
+def discard_at_exit(uri: str) -> None:
+    """Delete a folder when the driver ends: what is read from it is read lazily, so not before."""
+
+    def delete() -> None:
+        with contextlib.suppress(OSError):
+            fs, path = resolve(uri)
+            fs.delete_dir(path)
+
+    atexit.register(delete)

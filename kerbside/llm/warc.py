@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringContains, StringEndsWith, StringStartsWith
 
-from kerbside.llm.storage import resolve
+from kerbside.llm.storage import discard_at_exit, resolve
 from kerbside.runtime import shared_folder
 
 REVISIT_FROM = 100
@@ -251,6 +251,7 @@ def archive_and_read(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """
     spark = pages.sparkSession
     folder = shared_folder(spark, "warc")
+    discard_at_exit(folder)
     manifest = write(plan(pages, key), folder)
     kind = pages.schema[key].dataType
 
