@@ -6,8 +6,7 @@ of its rows, a document's vector the mean over its words, weighted by log(1 +
 occurrences) so that one repeated word is not the whole document, and a linear
 softmax sits on top. Table and softmax are trained together in numpy by mini-batch
 Adagrad, so a misspelling that was never seen lies near the words whose n-grams
-it shares. The fitted model collapses to one log-odds per table row, and a
-document is scored in one vectorised pass over its characters.
+it shares. The fitted model collapses to one log-odds per table row, hence one per word.
 
 Training takes a bounded sample of labelled rows: at most ``POSITIVES`` and
 ``NEGATIVES`` documents, drawn by a hash of the id over the whole table.
@@ -39,13 +38,12 @@ PAD = 2.0
 PIECE = 1 << 19
 #: Words whose log-odds a worker keeps.
 KEPT = 300_000
-_WORD, _GAP = re.compile(r"\w+"), re.compile(r"\W")
+#: A run of letters and digits beyond this length counts as several words, whole all the same.
+_WORD, _GAP = re.compile(r"\w{1,1000}"), re.compile(r"\W")
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-
-
 _POWERS: list[np.ndarray] = []
 
 
@@ -62,11 +60,10 @@ def words_of(text: str) -> Iterator[list[str]]:
     text = text.lower()
     at = 0
     while len(text) - at > PIECE:
-        gap = _GAP.search(text, at + PIECE)
-        if not gap:
-            break
-        yield _WORD.findall(text, at, gap.start())
-        at = gap.start()
+        gap = _GAP.search(text, at + PIECE, at + 2 * PIECE)
+        end = gap.start() if gap else at + 2 * PIECE
+        yield _WORD.findall(text, at, end)
+        at = end
     yield _WORD.findall(text, at)
 
 
@@ -195,7 +192,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         rank = F.xxhash64(F.col("doc_id"), F.lit(SEED))
         parts.append(known.where(F.col("toxic") == value).orderBy(rank, "doc_id").limit(most))
     sample = parts[0].unionByName(parts[1])
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id")
+    # one text an id, so that the bound holds whatever repeats
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
