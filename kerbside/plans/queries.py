@@ -174,7 +174,7 @@ def number_keys(spark, sf_dir):
     return _numbered(spark, sf_dir).select("id", F.explode(text.number_keys(F.col("number"))).alias("key"))
 
 
-_ASKED = "SELECT id, concat(CASE id % 3 WHEN 0 THEN 'Unit 5, ' WHEN 1 THEN '7/' ELSE '' END, number, ' Harp Road, Kew') AS q FROM ({}) s WHERE number NOT LIKE 'Lot%'"
+_ASKED = "SELECT id, concat(CASE id % 3 WHEN 0 THEN 'Unit 5, ' WHEN 1 THEN '7/' ELSE '' END, number, ' Harp Road, Melbourne') AS q FROM ({}) s WHERE number NOT LIKE 'Lot%'"
 
 
 @query(f"""WITH a AS ({_ASKED.format(_NUMBERED)}) SELECT id, CASE id % 3 WHEN 0 THEN '5' WHEN 1 THEN '7' END AS unit,
@@ -187,7 +187,7 @@ def parse_query(spark, sf_dir):
 # geocoding
 
 _QUERIES = (
-    "SELECT c_custkey AS qid, concat(CAST(1 + c_custkey % 45 AS STRING), ' Row ', CAST(c_custkey % 17 AS STRING), ' St, Kew') AS q FROM customer WHERE c_custkey < 150"
+    "SELECT c_custkey AS qid, concat(CAST(1 + c_custkey % 45 AS STRING), ' Row ', CAST(c_custkey % 17 AS STRING), ' St, Melbourne') AS q FROM customer WHERE c_custkey < 150"
 )
 
 

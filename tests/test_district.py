@@ -74,7 +74,7 @@ def test_town_hub_and_reverse(spark, town):
 
 
 def test_town_geocode(spark, town):
-    q = spark.createDataFrame([(1, "22 Yerin Street"), (2, "12 Nonexistent Boulevard"), (3, "Unit 2, 14 Brenbeal St, Kew"), (4, " "), (5, "25 Yerrin Street"), (6, "High Street South")], "qid int, q string")
+    q = spark.createDataFrame([(1, "22 Yerin Street"), (2, "12 Nonexistent Boulevard"), (3, "Unit 2, 14 Brenbeal St, Melbourne"), (4, " "), (5, "25 Yerrin Street"), (6, "High Street South")], "qid int, q string")
     got = {}
     for r in town.geocode(q).collect():
         got.setdefault(r.qid, []).append(r)

@@ -12,7 +12,7 @@ def test_normalise_street(spark):
 
 
 def test_parse_query(spark):
-    got = each(spark, text.parse_query, "Unit 5, 14 Brenbeal St", "31-37 Harp Road", "5/14 Brenbeal St", "Mary Street, Kew", "Unit 5/14 X Street")
+    got = each(spark, text.parse_query, "Unit 5, 14 Brenbeal St", "31-37 Harp Road", "5/14 Brenbeal St", "Mary Street, Melbourne", "Unit 5/14 X Street")
     assert [tuple(r) for r in got] == [("5", "14", "Brenbeal St"), (None, "31-37", "Harp Road"), ("5", "14", "Brenbeal St"), (None, None, "Mary Street"), ("5", None, "/14 X Street")]
 
 
