@@ -34,11 +34,11 @@ LATIN_PATTERN = f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_W}{_L}{_N}]+|[{
 #: Characters of a text that are split into words at once.
 PIECE = 1 << 20
 #: Words kept with their ids, and the longest word that is kept.
-KEPT, KEPT_LENGTH = 400_000, 48
+KEPT, KEPT_LENGTH = 200_000, 48
 #: Bytes of text per Arrow batch that leaves the worker.
 OUT_BYTES = 8 << 20
 
-ENCODED = "ids array<int>, decoded string"
+ENCODED = "ids array<int>, decoded string, round_trip boolean"
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -155,33 +155,34 @@ def codec(path: str) -> Codec:
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` in a struct ``row``, with ``ids`` and ``decoded`` of its text beside it.
+    """The other columns of ``docs`` in a struct ``row``, with ids, decoded and round_trip (decoded equals the text) beside it.
 
     Narrow: each row is encoded where it is read, one Arrow batch at a time.
-    Only the text crosses to Python together with the other columns the caller
-    selected. Empty input gives an empty result of the same schema.
+    Empty input gives an empty result of the same schema.
     """
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer)
         for batch in batches:
             rows, texts = batch.column(0), batch.column(1)
-            start, ids, plain, held = 0, [], [], 0
+            start, ids, plain, same, held = 0, [], [], [], 0
             for k in range(len(texts)):
-                found = own.encode(texts[k].as_py())
+                given = texts[k].as_py()
+                found = own.encode(given)
                 back = own.decode(found)
+                same.append(back == given)
                 ids.append(found)
                 plain.append(back)
                 held += len(back) + 4 * len(found)
                 if held >= OUT_BYTES or k == len(texts) - 1:
-                    yield _batch(rows.slice(start, len(ids)), ids, plain)
-                    start, ids, plain, held = k + 1, [], [], 0
+                    yield _batch(rows.slice(start, len(ids)), ids, plain, same)
+                    start, ids, plain, same, held = k + 1, [], [], [], 0
 
-    def _batch(rows: pa.Array, ids: list[np.ndarray], plain: list[str]) -> pa.RecordBatch:
+    def _batch(rows: pa.Array, ids: list[np.ndarray], plain: list[str], same: list[bool]) -> pa.RecordBatch:
         ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-        return pa.RecordBatch.from_arrays([rows, lists, pa.array(plain, pa.string())], names=["row", "ids", "decoded"])
+        return pa.RecordBatch.from_arrays([rows, lists, pa.array(plain, pa.string()), pa.array(same)], names=["row", "ids", "decoded", "round_trip"])
 
     schema = f"row {packed.schema['row'].dataType.simpleString()}, {ENCODED}"
     return packed.mapInArrow(run, schema)

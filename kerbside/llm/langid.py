@@ -41,9 +41,9 @@ FAMILIES = {
 }
 
 BITS = 12
-PER_LANGUAGE, SAMPLE = 500, 3000
+PER_LANGUAGE, SAMPLE = 300, 3000
 #: Strength of the L2 term, passes, and the slope from margin to score.
-RIDGE, PASSES, SLOPE = 1e-4, 120, 6.0
+RIDGE, PASSES, SLOPE = 1e-4, 80, 6.0
 #: Characters per vectorised pass.
 PIECE = 1 << 19
 UNKNOWN = "und"
@@ -168,9 +168,9 @@ def train(docs: DataFrame) -> Model:
     return fit(np.stack([np.frombuffer(x, np.float32) for _, x in got]), [lang for lang, _ in got])
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` in a struct ``row``, with lang_pred and score beside it. Narrow."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
+def predict(docs: DataFrame, model: Model, text: str = "text", carry_text: bool = True) -> DataFrame:
+    """The columns of ``docs`` (without the text if it is not to be carried) in a struct ``row``, with lang_pred and score beside it. Narrow."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if carry_text or c != text]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -30,7 +30,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kerbside.llm import bpe
 
     prepare(spark)
-    return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).select(F.struct("row.doc_id").alias("row"), "ids", "decoded"))
+    return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     prepare(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    found = langid.predict(docs.select("doc_id", "text"), langid.train(docs))
+    found = langid.predict(docs.select("doc_id", "text"), langid.train(docs), carry_text=False)
     return found.select("row.doc_id", langid.held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
 
 

@@ -38,10 +38,11 @@ def test_bpe(docs, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    found = bpe.encode_decode(docs, tokenizer_path()).collect()
+    found = bpe.encode_decode(docs.withColumn("given", docs.text), tokenizer_path()).collect()
     assert len(found) == len(ROWS)
     for r in found:
-        text = r["row"]["text"] or ""
+        text = r["row"]["given"] or ""
+        assert r["round_trip"]
         assert r["ids"] == t.encode(text, add_special_tokens=False).ids
         assert r["decoded"] == t.decode(r["ids"], skip_special_tokens=False)
     assert bpe.digests(bpe.encode_decode(none, tokenizer_path())).count() == 0
