@@ -93,7 +93,7 @@ def build_zones(faces: DataFrame, target: int = DEFAULT_TARGET) -> DataFrame:
 
 def zone_table(zones: DataFrame, faces: DataFrame) -> DataFrame:
     """One row per zone: label, doors, stops, blockfaces, streets, minutes, box, centroid, dropped_doors, palette."""
-    own = zones.join(faces.select("blockface_id", "street", "from_number", "door_count", "stop_count", "minutes", "stops"), "blockface_id")
+    own = cut(zones.join(faces.select("blockface_id", "street", "from_number", "door_count", "stop_count", "minutes", "stops"), "blockface_id"))
     lost = own.where(~F.col("kept")).groupBy(F.col("cut_zone_id").alias("zone_id")).agg(F.sum("door_count").alias("lost"))
     kept = own.where("kept")
     first = kept.groupBy("zone_id", "street").agg(F.min(F.struct("street", text.natural_key(F.col("from_number")).alias("k"))).alias("p")).groupBy("zone_id").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["street"]).alias("streets"))
@@ -101,6 +101,7 @@ def zone_table(zones: DataFrame, faces: DataFrame) -> DataFrame:
     box = kept.select("zone_id", F.explode("stops").alias("s")).groupBy("zone_id").agg(F.min("s.lat").alias("south"), F.min("s.lon").alias("west"), F.max("s.lat").alias("north"), F.max("s.lon").alias("east"), F.avg("s.lat").alias("lat"), F.avg("s.lon").alias("lon"))
     table = sums.join(first, "zone_id").join(box, "zone_id").join(lost, "zone_id", "left")
     table = table.withColumn("dropped_doors", F.coalesce("lost", F.lit(0))).drop("lost").withColumn("label", text.zone_label(F.col("streets"), F.col("doors")))
+    table = cut(table)
     return table.join(palette(table.select("zone_id", "south", "west", "north", "east")), "zone_id")
 
 

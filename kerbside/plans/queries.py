@@ -68,8 +68,15 @@ _STOPS = """stops AS (
   FROM doors GROUP BY street, number, lat > -3.778e1)"""
 
 
+_DISTRICTS: dict[tuple[str, str], District] = {}
+
+
 def _own(spark: SparkSession, sf_dir: str) -> District:
-    return District.from_tables(spark, sf_dir)
+    """One district per application and folder, so that its tables are built once for all questions."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _DISTRICTS:
+        _DISTRICTS[key] = District.from_tables(spark, sf_dir)
+    return _DISTRICTS[key]
 
 
 # scans, filters, stops
