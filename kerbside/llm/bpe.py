@@ -13,6 +13,7 @@ encoded whole; long texts are walked in pieces cut where no token can span.
 
 from __future__ import annotations
 
+import array
 import functools
 import heapq
 import json
@@ -33,8 +34,8 @@ LATIN_PATTERN = f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_W}{_L}{_N}]+|[{
 
 #: Characters of a text that are split into words at once.
 PIECE = 1 << 20
-#: Words kept with their ids, and the longest word that is kept.
-KEPT, KEPT_LENGTH = 200_000, 48
+#: Words kept with their ids in each of two generations, and the longest word that is kept.
+KEPT, KEPT_LENGTH = 150_000, 48
 #: Bytes of text per Arrow batch that leaves the worker.
 OUT_BYTES = 8 << 20
 
@@ -134,15 +135,22 @@ class Codec:
 
 
 class _Words(dict):
-    """Packed ids by word; a word is merged when first asked for."""
+    """Packed ids by word; a word is merged when first asked for.
+
+    A full generation becomes the old one, from which words that are asked for
+    again come back, so frequent words stay and the rest goes.
+    """
 
     def __init__(self, codec: Codec):
-        self.codec = codec
+        self.codec, self.old = codec, {}
 
     def __missing__(self, word: str) -> bytes:
-        packed = np.array(self.codec.merge([self.codec.byte_id[b] for b in word.encode("utf-8")]), np.int32).tobytes()
+        packed = self.old.get(word)
+        if packed is None:
+            packed = array.array("i", self.codec.merge([self.codec.byte_id[b] for b in word.encode("utf-8")])).tobytes()
         if len(word) <= KEPT_LENGTH:
             if len(self) >= KEPT:
+                self.old = dict(self)
                 self.clear()
             self[word] = packed
         return packed
