@@ -10,8 +10,8 @@ this order until the words that are left of the target are reached, to the
 nearest document. u comes from the MD5 of the id, so reruns agree.
 
 DataFrame functions only. No source is ever gathered in one task: words are
-summed by (source, rank bucket), prefix sums run over at most ``BUCKETS`` sums a
-source, and only the documents of the one bucket in which the target falls are
+summed by (source, rank bucket), prefix sums run in two steps over at most 128 sums
+each, and only the documents of the one bucket in which the target falls are
 ranked row by row.
 
 Null text has size 0, and so has a text without words; such documents get copies
@@ -29,7 +29,7 @@ from kerbside.runtime import cut
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MOST = 3
-BUCKETS = 1 << 14
+BUCKETS, GROUP_BITS = 1 << 14, 7
 #: Sources up to which the plan is broadcast.
 FEW = 10_000
 
@@ -78,8 +78,14 @@ def plan(docs: DataFrame, key: str = "doc_id", weights: tuple[int, ...] = WEIGHT
     goal = goal.withColumn("base", F.floor(ratio)).withColumn("p", ratio - F.col("base")).withColumn("rest", F.col("target") - F.col("base") * F.col("source_size"))
 
     # the bucket of each source in which what is left of the target is reached
-    running = Window.partitionBy("source").orderBy("bucket")
-    prefix = sums.withColumn("before", F.sum("words").over(running) - F.col("words"))
+    # prefix sums in two steps, so that no window is over more than the root of BUCKETS rows
+    group = F.shiftright("bucket", GROUP_BITS)
+    coarse = sums.groupBy("source", group.alias("of")).agg(F.sum("words").alias("in_group"))
+    coarse = coarse.withColumn("ahead", F.sum("in_group").over(Window.partitionBy("source").orderBy("of")) - F.col("in_group"))
+    fine = Window.partitionBy("source", "of").orderBy("bucket")
+    within = sums.withColumn("of", group).withColumn("own", F.sum("words").over(fine) - F.col("words"))
+    x, y = within.alias("x"), coarse.alias("y")
+    prefix = x.join(y, F.col("x.source").eqNullSafe(F.col("y.source")) & (F.col("x.of") == F.col("y.of"))).select("x.source", "x.bucket", (F.col("y.ahead") + F.col("x.own")).alias("before"))
     g, s = goal.alias("g"), prefix.alias("s")
     edge = g.join(s, F.col("g.source").eqNullSafe(F.col("s.source")) & (F.col("s.before") < F.col("g.rest")), "left").groupBy("g.source").agg(F.max(F.struct("s.bucket", "s.before")).alias("edge"))
     found = goal.alias("g").join(edge.alias("e"), F.col("g.source").eqNullSafe(F.col("e.source"))).select("g.*", F.coalesce("e.edge.bucket", F.lit(-1)).alias("edge"), (F.col("rest") - F.coalesce("e.edge.before", F.lit(0))).alias("need"))
