@@ -195,7 +195,7 @@ class MediaReader(DataSourceReader):
 
     @staticmethod
     def batch(path, keys, lengths, offsets, stored, payloads) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([path] * len(keys), pa.string()), pa.array(offsets, pa.int64()), pa.array(keys, pa.string()), pa.array(lengths, pa.int64()), pa.array(stored, pa.binary()), pa.array(payloads, pa.binary())], names=["archive", "offset", "key", "n_bytes", "media", "payload"])
+        return pa.RecordBatch.from_arrays([pa.array([path] * len(keys), pa.string()), pa.array(offsets, pa.int64()), pa.array(keys, pa.string()), pa.array(lengths, pa.int64()), pa.array(stored, pa.binary()), pa.array(payloads, pa.binary()), pa.array([features(p) for p in payloads], pa.string())], names=["archive", "offset", "key", "n_bytes", "media", "payload", "feature"])
 
 
 class MediaSource(DataSource):
@@ -206,7 +206,7 @@ class MediaSource(DataSource):
         return "kerbside_media"
 
     def schema(self) -> str:
-        return "archive string, offset long, key string, n_bytes long, media binary, payload binary"
+        return "archive string, offset long, key string, n_bytes long, media binary, payload binary, feature string"
 
     def reader(self, schema) -> MediaReader:
         return MediaReader(self.options)
@@ -222,14 +222,8 @@ def read_archives(spark: SparkSession, manifest: str, folder: str, step: int = R
 
 
 def described(media: DataFrame) -> DataFrame:
-    """key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; hashes of what was read back."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array([features(p.as_py()) for p in batch.column(3)], pa.string())], names=["key", "n_bytes", "media", "payload", "feature"])
-
-    whole = media.select("key", "n_bytes", "media", "payload").mapInArrow(run, "key string, n_bytes long, media binary, payload binary, feature string")
-    return whole.select(
+    """key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; hashes of what was read back. The reader has computed the features."""
+    return media.select(
         "key",
         "n_bytes",
         F.length("payload").cast("long").alias("payload_bytes"),
