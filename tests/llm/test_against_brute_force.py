@@ -204,3 +204,31 @@ def test_pipeline_end_to_end(spark, tmp_path):
             got = {x["doc_id"]: x["count"] for x in docs.groupBy("doc_id").count().collect()}
             assert got == {i: c for i, c in taken.items() if c}
     assert docs.where("not round_trip").count() == 0
+
+
+def same_lines_go(spark, texts):
+    """Lines kept by the operator, and by brute force over the distinct lines, one line a document."""
+    found = sum(r["n_lines"] - r["n_removed"] for r in lines.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    texts = sorted(set(texts))
+    sets = [shingles(t) for t in texts]
+    meet = {}
+    for i, s in enumerate(sets):
+        for g in s:
+            meet.setdefault(g, []).append(i)
+    root = components_of(len(texts), lambda i, j: 0.8 <= min(len(sets[i]), len(sets[j])) / max(len(sets[i]), len(sets[j])) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    return found, len(set(root))
+
+
+def test_lines_around_a_hot_passage_are_compared(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 7)))
+    passage = " ".join(word() for _ in range(30))
+    texts = []
+    for _ in range(150):
+        own = [word() for _ in range(24)]
+        texts.append(passage + " " + " ".join(own))
+        own[rng.randrange(24)] = word()
+        texts.append(passage + " " + " ".join(own))
+    found, want = same_lines_go(spark, texts)
+    assert want == 150
+    assert found - want <= 2
