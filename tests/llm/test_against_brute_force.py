@@ -219,16 +219,25 @@ def same_lines_go(spark, texts):
     return found, len(set(root))
 
 
+def test_short_lines_are_compared(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(5, 9)))
+    bases = ["All rights reserved"] + [" ".join(word() for _ in range(2 + i % 4)) for i in range(200)]
+    found, want = same_lines_go(spark, bases + [b + "." for b in bases])
+    assert want <= len(bases)
+    assert found - want <= 2
+
+
 def test_lines_around_a_hot_passage_are_compared(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 7)))
     passage = " ".join(word() for _ in range(30))
     texts = []
     for _ in range(150):
-        own = [word() for _ in range(24)]
-        texts.append(passage + " " + " ".join(own))
-        own[rng.randrange(24)] = word()
-        texts.append(passage + " " + " ".join(own))
+        own = [word() for _ in range(10)]
+        texts.append(" ".join(own) + " " + passage)
+        own[4] = word()
+        texts.append(" ".join(own) + " " + passage)
     found, want = same_lines_go(spark, texts)
     assert want == 150
     assert found - want <= 2
