@@ -14,7 +14,7 @@ from kerbside.llm import bpe, langid, lines, mixing, simhash
 from kerbside.llm.queries import tokenizer_path
 from kerbside.runtime import prepare, shared_folder, table
 
-#: Language scores below this are rejected; clean prose of a known language lies far above.
+#: Language scores below this are rejected. The score only tells the learned languages apart; other texts go by ``known``.
 LEAST_SCORE = 0.2
 
 
@@ -22,7 +22,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a recognised language stay; those without a letter, or of no known language, go."""
     prepare(spark)
     found = langid.predict(docs, langid.train(docs))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE) & F.col("known")).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

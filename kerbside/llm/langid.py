@@ -47,6 +47,9 @@ RIDGE, PASSES, SLOPE = 1e-4, 80, 6.0
 #: Characters per vectorised pass.
 PIECE = 1 << 19
 UNKNOWN = "und"
+#: A text is of a known language if its nearness to its language's mean is at least this share of what all but one in
+#: a hundred of the sample reach. Nearness is the cosine over the root of the distinct trigrams, up to so many.
+LEAST_SHARE, MOST_TRIGRAMS = 0.7, 256
 
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -89,6 +92,11 @@ def svm(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w[:-1], float(w[-1])
 
 
+def nearness(x: np.ndarray, mean: np.ndarray) -> float:
+    """Cosine to a language's mean (of unit length), in proportion to what a text of so many distinct trigrams can reach."""
+    return float(x @ mean) / float(np.sqrt(min(max(np.count_nonzero(x), 1), MOST_TRIGRAMS)))
+
+
 @dataclass
 class Model:
     """Pairwise machines between families and, by family, between its languages."""
@@ -97,6 +105,8 @@ class Model:
     members: dict[str, list[str]] = field(default_factory=dict)
     between: list[tuple[int, int, np.ndarray, float]] = field(default_factory=list)
     within: dict[str, list[tuple[int, int, np.ndarray, float]]] = field(default_factory=dict)
+    means: dict[str, np.ndarray] = field(default_factory=dict)
+    least: float = 0.0
 
     @staticmethod
     def _vote(x: np.ndarray, n: int, machines: list[tuple[int, int, np.ndarray, float]]) -> tuple[int, float]:
@@ -112,14 +122,18 @@ class Model:
         return best, 1.0 if n == 1 else float(1 / (1 + np.exp(-SLOPE * np.clip(least[best], -50, 50))))
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, score, and whether the text is like that language at all."""
         if not self.families or not has_letter(text):
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, False
         x = features(text)
         k, sure = self._vote(x, len(self.families), self.between)
         family = self.families[k]
         names = self.members[family]
         j, surer = self._vote(x, len(names), self.within[family])
-        return names[j], sure * surer
+        return names[j], sure * surer, nearness(x, self.means[names[j]]) >= self.least
 
 
 def fit(x: np.ndarray, langs: list[str]) -> Model:
@@ -139,7 +153,9 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
 
     families = sorted(set(family))
     members = {f: sorted(set(lang[family == f])) for f in families}
-    return Model(families, members, pairs(family, families), {f: pairs(lang, members[f]) for f in families})
+    means = {name: m / max(float(np.sqrt((m * m).sum())), 1e-9) for name in sorted(set(lang)) for m in [x[lang == name].mean(axis=0)]}
+    near = [nearness(row, means[name]) for row, name in zip(x, lang, strict=True)]
+    return Model(families, members, pairs(family, families), {f: pairs(lang, members[f]) for f in families}, means, LEAST_SHARE * float(np.quantile(near, 0.01)))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -169,13 +185,13 @@ def train(docs: DataFrame) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", carry_text: bool = True) -> DataFrame:
-    """The columns of ``docs`` (without the text if it is not to be carried) in a struct ``row``, with lang_pred and score beside it. Narrow."""
+    """The columns of ``docs`` (without the text if it is not to be carried) in a struct ``row``, with lang_pred, score and known (like the language at all) beside it. Narrow."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if carry_text or c != text]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
-            found = [model.predict(texts[k].as_py()) for k in range(len(texts))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["row", "lang_pred", "score"])
+            found = [model.judge(texts[k].as_py()) for k in range(len(texts))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())], names=["row", "lang_pred", "score", "known"])
 
-    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, lang_pred string, score double, known boolean")

@@ -241,3 +241,16 @@ def test_lines_around_a_hot_passage_are_compared(spark):
     found, want = same_lines_go(spark, texts)
     assert want == 150
     assert found - want <= 2
+
+
+def test_documents_of_no_known_language_go(spark):
+    import base64
+
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    junk = ["Съешь же ещё этих мягких французских булок, да выпей чаю", "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏", base64.b64encode(rng.randbytes(300)).decode(), "".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(400))]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    other = spark.createDataFrame([(-1 - i, t, None, "x", len(t)) for i, t in enumerate(junk)], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.unionByName(other), SF).collect()}
+    assert kept == {r["doc_id"] for r in docs.collect() if langid.has_letter(r["text"])}
