@@ -230,6 +230,25 @@ def geocode_street(spark, sf_dir):
     return geocode.search(_questions(spark, sf_dir, _STREETS), derived.doors(spark, sf_dir)).select("qid", "street", "door_count", "match_type", "score")
 
 
+# the same for every customer, not only the first ones
+
+
+@query(ORACLES["geocode_exact"].replace(" WHERE c_custkey < 150", ""))
+def geocode_exact_all(spark, sf_dir):
+    found = geocode.search(_questions(spark, sf_dir, _QUERIES.replace(" WHERE c_custkey < 150", "")), derived.doors(spark, sf_dir))
+    return found.where("match_type = 'exact'").select("qid", "street", "number", "door_count", "match_type", "score", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+@query(ORACLES["geocode_nearby_number"].replace(" WHERE c_custkey < 60", ""))
+def geocode_nearby_number_all(spark, sf_dir):
+    return geocode.search(_questions(spark, sf_dir, _BEYOND.replace(" WHERE c_custkey < 60", "")), derived.doors(spark, sf_dir)).select("qid", "street", "number", "door_count", "match_type", "score")
+
+
+@query(ORACLES["geocode_street"].replace(" WHERE c_custkey < 150", ""))
+def geocode_street_all(spark, sf_dir):
+    return geocode.search(_questions(spark, sf_dir, _STREETS.replace(" WHERE c_custkey < 150", "")), derived.doors(spark, sf_dir)).select("qid", "street", "door_count", "match_type", "score")
+
+
 @query()
 def geocode_fuzzy(spark, sf_dir):
     q = spark.createDataFrame([(1, "22 Rwo 3 Street"), (2, "14 Mery Street"), (3, "12 Nonexistent Boulevard"), (4, "Gost Road")], "qid int, q string")
@@ -260,6 +279,17 @@ def nearest_other_street(spark, sf_dir):
     return near.select("osm_id", F.round("m", 3).alias("distance_m"))
 
 
+@query(ORACLES["nearest_other_street"].replace(" WHERE ord < 60", ""))
+def nearest_other_street_all(spark, sf_dir):
+    d = derived.doors(spark, sf_dir)
+    # doors at one place have one answer
+    places = d.groupBy("street", "lat", "lon").agg(F.min("ord").alias("ord"))
+    other = geocode.nearest_other_street(places, places)
+    back = places.join(other, ["street", "lat", "lon"]).select("street", F.col("lat").alias("y"), F.col("lon").alias("x"), "other")
+    near = back.join(places.withColumnRenamed("street", "other"), "other").groupBy("street", "y", "x").agg(F.min(geo.haversine(F.col("y"), F.col("x"), F.col("lat"), F.col("lon"))).alias("m"))
+    return d.join(near, (d["street"] == near["street"]) & (d["lat"] == near["y"]) & (d["lon"] == near["x"])).select("osm_id", F.round("m", 3).alias("distance_m"))
+
+
 # hubs
 
 

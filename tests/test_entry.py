@@ -32,3 +32,24 @@ def test_cli(spark, tmp_path, monkeypatch, capsys):
     assert cli.main(["report"]) == 1
     (tmp_path / "here").mkdir()
     assert cli.main(["fetch-district"]) == 0 and "--force" in capsys.readouterr().out
+
+
+def test_geocoding_answers_every_customer(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    for name in ("customer", "nation"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    asked = {"nearest_other_street_all": 1500, "geocode_exact_all": 1200, "geocode_nearby_number_all": 1200, "geocode_street_all": 25}
+    for name, least in asked.items():
+        df = entry.queries()[name](spark, folder)
+        want = db.execute(entry.oracle_sql()[name])
+        at = [[c[0] for c in want.description].index(c) for c in df.columns]
+
+        def tidy(rows):
+            return sorted(tuple(round(v, 2 if name.startswith("near") else 5) if isinstance(v, float) else v for v in r) for r in rows)
+
+        got = tidy(df.collect())
+        assert got == tidy([r[i] for i in at] for r in want.fetchall()), name
+        assert len({r[0] for r in got}) >= least, name
