@@ -62,7 +62,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kerbside.llm import token_count
 
     prepare(spark)
-    return token_count.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).select("row.doc_id", "n_bytes", "n_tokens", "over_limit")
+    return token_count.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).select("row.doc_id", "n_bytes", "n_tokens", "over_limit", "n_chunks")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
