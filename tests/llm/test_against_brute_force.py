@@ -106,8 +106,19 @@ def test_tokens_resynchronise():
     rng = random.Random(2)
     for _ in range(60):
         text = "".join(rng.choice(["a", " the", "  ", "\n", "é", "漢", " 12", "<|endoftext|>", "'ll", "xyz"]) for _ in range(rng.randint(1, 600)))
-        assert token_count.count_huge(text, t, chunk=50, overlap=3) == len(t.encode(text, add_special_tokens=False).ids)
-    assert token_count.count_huge("x" * 5000, t, chunk=50, overlap=3) == len(t.encode("x" * 5000).ids)
+        assert token_count.count_huge(text, t, chunk=50, overlap=3)[0] == len(t.encode(text, add_special_tokens=False).ids)
+    assert token_count.count_huge("x" * 5000, t, chunk=50, overlap=3)[0] == len(t.encode("x" * 5000).ids)
+
+
+def test_registered_token_counts_splice_and_equal_the_library(spark):
+    from kerbside.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    t = token_count.library(tokenizer_path())
+    rows = queries.op8_token_counts(spark, folder).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in texts.items()}
+    assert sum(r["n_chunks"] > 1 for r in rows) >= 10 and max(r["n_chunks"] for r in rows) >= 3
 
 
 def test_merge_queue_skips_stale_entries():
@@ -180,6 +191,18 @@ def test_mix_comes_near_its_targets(spark):
     assert abs(found.groupBy("source").agg(F.max("target").alias("t")).agg(F.sum("t")).first()[0] - total) < 1e-3
 
 
+def test_mix_of_repeated_rows_and_by_size(spark):
+    rows = [(7, "w " * 20, "a", 0)] * 1000 + [(i, "w " * (1 + i % 97), "b", i) for i in range(2000)] + [(9, "w " * 5, "c", i) for i in range(10)]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(3))
+    assert found.count() == len(rows)
+    for r in found.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("s")).collect():
+        assert abs(r["taken"] - r["target"]) <= r["s"] / 2 + 1e-6
+    assert found.where("copies > 3 or copies < 0").isEmpty()
+    # unequal probabilities: what is taken once more of b are rather its long documents
+    long_, short = (found.where("source = 'b'").where(c).agg(F.avg("copies")).first()[0] for c in ("size > 70", "size < 20"))
+    assert long_ > short + 0.2
+
+
 def test_pipeline_end_to_end(spark, tmp_path):
     import corpus_pipeline
 
