@@ -147,8 +147,13 @@ def trimmed(path: str, stops: str) -> Column:
     return cut(F.col(path), F.transform(stops, lambda s: F.struct(s["lat"].alias("lat"), s["lon"].alias("lon"))))
 
 
-def payload(faces: DataFrame) -> DataFrame:
-    """What a face shows, rounded."""
+def shown() -> list[Column]:
+    """The columns that a face shows, rounded."""
     rounded = {c: F.bround(c, 1) for c in ("length_m", "dwell_minutes", "walk_minutes", "minutes")}
-    return faces.select("blockface_id", "street", "side", "label", "from_number", "to_number", "stop_count", "door_count", "gated_candidates", "one_side_per_pass", "highway", *[v.alias(k) for k, v in rounded.items()], "off_network", "clipped")
+    plain = ("street", "side", "label", "from_number", "to_number", "stop_count", "door_count", "gated_candidates", "one_side_per_pass", "highway")
+    return [*[F.col(c) for c in plain], *[v.alias(k) for k, v in rounded.items()], F.col("off_network"), F.col("clipped")]
+
 
+def payload(faces: DataFrame) -> DataFrame:
+    """What a face shows, with its id."""
+    return faces.select("blockface_id", *shown())

@@ -15,7 +15,8 @@ from kerbside.runtime import cut
 
 ALIKE = 0.8
 NEAR_CELL = 4e-3
-FAR_CELL = 6.4e-2
+#: Degrees from which on nine cells cover the globe.
+WHOLE = 360.0
 
 
 def _first(df: DataFrame, by: list[str], *order) -> DataFrame:
@@ -129,30 +130,27 @@ def _nearest(points: DataFrame, key: list[str], addresses: DataFrame, other: Col
     """For each point its nearest address that satisfies ``other``: a search by growing cells.
 
     Points that have an address within a cell's width are answered there; the few
-    others look through cells sixteen times as wide, and what is still open is
-    compared with every address.
+    others look through cells sixteen times as wide, and so on until the cells
+    cover the globe. No point meets an address outside its nine cells.
     """
-    found, left = None, cut(points)
-    for size in (NEAR_CELL, FAR_CELL, None):
-        if size is None:
-            pairs = left.join(addresses, other)
-        else:
-            around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-            dealt = left.withColumn("dy", around).withColumn("dx", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn("cy", geo.cell(F.col("p_lat"), size) + F.col("dy")).withColumn("cx", geo.cell(F.col("p_lon"), size) + F.col("dx")).drop("dy", "dx")
-            held = addresses.withColumn("ay", geo.cell(F.col("lat"), size)).withColumn("ax", geo.cell(F.col("lon"), size))
-            pairs = dealt.join(held, (F.col("cy") == F.col("ay")) & (F.col("cx") == F.col("ax")) & other)
+    found, left, size = None, cut(points), NEAR_CELL
+    while True:
+        around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+        dealt = left.withColumn("dy", around).withColumn("dx", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn("cy", geo.cell(F.col("p_lat"), size) + F.col("dy")).withColumn("cx", geo.cell(F.col("p_lon"), size) + F.col("dx")).drop("dy", "dx")
+        held = addresses.withColumn("ay", geo.cell(F.col("lat"), size)).withColumn("ax", geo.cell(F.col("lon"), size))
+        pairs = dealt.join(held, (F.col("cy") == F.col("ay")) & (F.col("cx") == F.col("ax")) & other)
         distance = geo.haversine(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon"))
         best = pairs.withColumn("distance_m", distance).groupBy(*key).agg(F.min(F.struct("distance_m", "ord", *[c for c in out if c != "ord"])).alias("b"))
-        if size is not None:
-            # certain only within the narrower side of a cell
+        # certain only within the narrower side of a cell
+        if size <= WHOLE:
             sure = F.lit(size * geo.DEGREE_M * 0.97) * F.cos(F.radians(F.least(F.abs(F.col("b.lat")) + size, F.lit(89.9))))
             best = best.where(F.col("b.distance_m") <= sure)
         best = cut(best.select(*key, "b.distance_m", *[F.col(f"b.{c}") for c in out]))
         found = best if found is None else found.unionByName(best)
         left = cut(left.join(best.select(*key), key, "left_anti"))
-        if left.isEmpty():
-            break
-    return found
+        if size > WHOLE or left.isEmpty():
+            return found
+        size *= 16
 
 
 def reverse(points: DataFrame, addresses: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +30,9 @@ class District:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> District:
-        own = cls(spark, None) if os.path.exists(path) or "://" in path else None
-        if own is None:
+        if snapshot.stamp(spark, path) is None:
             raise SnapshotMissingError(path)
+        own = cls(spark, None)
         own.path, own.stamp = path, None
         own.reload()
         return own
@@ -49,8 +47,8 @@ class District:
         return cls(spark, snapshot.Snapshot(meta, rings, address, way))
 
     def reload(self) -> bool:
-        """Read the snapshot again if its file has changed; everything built from the old one goes."""
-        stamp = os.stat(self.path).st_mtime_ns if os.path.exists(self.path) else self.path
+        """Read the snapshot again if its files have changed, by their times and sizes in any file system; everything built from the old one goes."""
+        stamp = snapshot.stamp(self.spark, self.path)
         if stamp == self.stamp:
             return False
         self.refresh()
@@ -94,6 +92,15 @@ class District:
 
     # one method per endpoint
 
+    @staticmethod
+    def health_of(spark: SparkSession, path: str) -> DataFrame:
+        """Health of the snapshot at a path: status ``no snapshot`` while there is none."""
+        try:
+            return District.open(spark, path).health()
+        except SnapshotMissingError:
+            nothing = F.lit(None).cast("string")
+            return spark.range(1).select(F.lit("no snapshot").alias("status"), nothing.alias("district_name"), nothing.alias("fetched_at"), F.lit(0).cast("long").alias("doors"))
+
     def health(self) -> DataFrame:
         return self.source.meta.crossJoin(self.addresses.agg(F.count("*").alias("doors"))).select(F.lit("ok").alias("status"), "district_name", "fetched_at", "doors")
 
@@ -112,6 +119,11 @@ class District:
         shown = stopping.payload(rows)
         return geojson.features(shown, F.col("stop_id"), geojson.point(F.col("lat"), F.col("lon")), [F.col(c) for c in ("street", "number", "label", "door_count", "dwell_minutes", "gated_candidate", "uncapped_dwell_minutes")]), more
 
+    def stop_totals(self, box=None, limit: int = 40_000) -> DataFrame:
+        """Rows, doors and minutes of one page of stops."""
+        rows, _ = reports.page(reports.in_box(self.stops, box), stopping.stop_order(), limit, 100_000)
+        return reports.totals(rows, geo.dwell_seconds(F.col("door_count")) / 60)
+
     def blockface_rows(self, box=None, street: str | None = None, limit: int = 5000) -> tuple[DataFrame, bool]:
         rows = self.faces
         if street:
@@ -120,10 +132,17 @@ class District:
 
     def blockface_features(self, box=None, street: str | None = None, limit: int = 5000) -> tuple[DataFrame, bool]:
         rows, more = self.blockface_rows(box, street, limit)
-        shown = blockfaces.payload(rows)
-        extra = rows.select("blockface_id", "path", F.array("lon", "lat").alias("centroid"), F.col("stops.stop_id").alias("stop_ids"))
-        shown = shown.join(extra, "blockface_id")
-        return geojson.features(shown, F.col("blockface_id"), geojson.lines(F.col("path")), [F.col(c) for c in shown.columns if c not in ("blockface_id", "path")]), more
+        extra = [F.array("lon", "lat").alias("centroid"), F.col("stops.stop_id").alias("stop_ids")]
+        return geojson.features(rows, F.col("blockface_id"), geojson.lines(F.col("path")), [*blockfaces.shown(), *extra]), more
+
+    def blockface_totals(self, box=None, street: str | None = None, limit: int = 5000) -> DataFrame:
+        """Rows, doors and minutes of one page of blockfaces."""
+        rows, _ = self.blockface_rows(box, street, limit)
+        return reports.totals(rows, F.col("minutes"))
+
+    def network_counts(self) -> DataFrame:
+        """street_count (named) and span_count."""
+        return self.spans.agg(F.count_distinct("street_norm").alias("street_count"), F.count("*").alias("span_count"))
 
     def coverage(self) -> DataFrame:
         return reports.coverage(self.addresses, self.ways, self.rings, self.stops, self.faces)
@@ -136,6 +155,7 @@ class District:
         return found.join(self.contains(points).select("pid", "inside_district"), "pid")
 
     def hub_preview(self, hubs: DataFrame) -> DataFrame:
+        hubs = reports.checked_radius(hubs)
         crow = reports.hub_preview_crow(hubs, self.addresses, self.stops)
         walk = reports.hub_preview_walk(hubs, self.addresses, self.stops, self.faces, self.walk_edges, self.snaps)
         inside = self.contains(hubs).select("hub_id", "inside_district")
@@ -147,7 +167,7 @@ class District:
 
     def territories(self, scenarios: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(faces of each scenario, their territories). scenarios: scenario_id, lat, lon, radius_m, teams."""
-        faces = self.session(scenarios)
+        faces = self.session(reports.checked_radius(scenarios))
         return faces, territory.build_territories(faces, scenarios)
 
     def territory_features(self, scenarios: DataFrame) -> DataFrame:

@@ -194,7 +194,7 @@ def parse_query(spark, sf_dir):
 # geocoding
 
 _QUERIES = (
-    "SELECT c_custkey AS qid, concat(CAST(1 + c_custkey % 45 AS STRING), ' Row ', CAST(c_custkey % 17 AS STRING), ' St, Melbourne') AS q FROM customer WHERE c_custkey < 150"
+    "SELECT c_custkey AS qid, concat(CAST(1 + c_custkey % 45 AS STRING), ' Row ', CAST(c_custkey % 17 AS STRING), ' St, Melbourne') AS q FROM customer"
 )
 
 
@@ -202,17 +202,17 @@ def _questions(spark, sf_dir, sql):
     return spark.sql(sql.replace("FROM customer", "FROM {customer}"), customer=table(spark, sf_dir, "customer"))
 
 
-@query(f"""WITH {_DOORS}, q AS (SELECT c_custkey AS qid, CAST(1 + c_custkey % 45 AS VARCHAR) AS number, concat('Row ', CAST(c_custkey % 17 AS VARCHAR), ' Street') AS street FROM customer WHERE c_custkey < 150)
+@query(f"""WITH {_DOORS}, q AS (SELECT c_custkey AS qid, CAST(1 + c_custkey % 45 AS VARCHAR) AS number, concat('Row ', CAST(c_custkey % 17 AS VARCHAR), ' Street') AS street FROM customer)
 SELECT qid, street, number, CAST(count(*) AS INTEGER) AS door_count, 'exact' AS match_type, 1e0 AS score, round(avg(d.lat), 6) AS lat, round(avg(d.lon), 6) AS lon FROM q JOIN doors d USING (street, number) GROUP BY qid, street, number""")
 def geocode_exact(spark, sf_dir):
     found = geocode.search(_questions(spark, sf_dir, _QUERIES), derived.doors(spark, sf_dir))
     return found.where("match_type = 'exact'").select("qid", "street", "number", "door_count", "match_type", "score", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
-_BEYOND = "SELECT c_custkey AS qid, concat(CAST(50 + c_custkey % 9 AS STRING), ' Row ', CAST(c_custkey % 17 AS STRING), ' Street') AS q FROM customer WHERE c_custkey < 60"
+_BEYOND = "SELECT c_custkey AS qid, concat(CAST(50 + c_custkey % 9 AS STRING), ' Row ', CAST(c_custkey % 17 AS STRING), ' Street') AS q FROM customer"
 
 
-@query(f"""WITH {_DOORS}, q AS (SELECT c_custkey AS qid, 50 + c_custkey % 9 AS goal, concat('Row ', CAST(c_custkey % 17 AS VARCHAR), ' Street') AS street FROM customer WHERE c_custkey < 60),
+@query(f"""WITH {_DOORS}, q AS (SELECT c_custkey AS qid, 50 + c_custkey % 9 AS goal, concat('Row ', CAST(c_custkey % 17 AS VARCHAR), ' Street') AS street FROM customer),
 n AS (SELECT street, number, CAST(count(*) AS INTEGER) AS door_count, min(ord) AS first FROM doors GROUP BY street, number),
 r AS (SELECT qid, street, number, door_count, row_number() OVER (PARTITION BY qid ORDER BY abs(CAST(number AS BIGINT) - goal), first) AS k FROM q JOIN n USING (street))
 SELECT qid, street, number, door_count, 'approximate' AS match_type, 7e-1 AS score FROM r WHERE k <= 3""")
@@ -220,35 +220,16 @@ def geocode_nearby_number(spark, sf_dir):
     return geocode.search(_questions(spark, sf_dir, _BEYOND), derived.doors(spark, sf_dir)).select("qid", "street", "number", "door_count", "match_type", "score")
 
 
-_STREETS = "SELECT DISTINCT c_nationkey AS qid, CASE WHEN c_nationkey % 4 = 0 THEN 'Mary St' ELSE concat('Row ', CAST(c_nationkey % 17 AS STRING), ' Street Balwyn') END AS q FROM customer WHERE c_custkey < 150"
+_STREETS = "SELECT DISTINCT c_nationkey AS qid, CASE WHEN c_nationkey % 4 = 0 THEN 'Mary St' ELSE concat('Row ', CAST(c_nationkey % 17 AS STRING), ' Street Balwyn') END AS q FROM customer"
 
 
-@query(f"""WITH {_DOORS}, q AS (SELECT DISTINCT c_nationkey AS qid, CASE WHEN c_nationkey % 4 = 0 THEN 'Mary Street' ELSE concat('Row ', CAST(c_nationkey % 17 AS VARCHAR), ' Street') END AS street FROM customer WHERE c_custkey < 150),
+@query(f"""WITH {_DOORS}, q AS (SELECT DISTINCT c_nationkey AS qid, CASE WHEN c_nationkey % 4 = 0 THEN 'Mary Street' ELSE concat('Row ', CAST(c_nationkey % 17 AS VARCHAR), ' Street') END AS street FROM customer),
 c AS (SELECT qid, street, lat > -3.778e1 AS far, CAST(count(*) AS INTEGER) AS door_count, max(ord) AS last FROM q JOIN doors USING (street) GROUP BY ALL)
 SELECT qid, street, door_count, 'street' AS match_type, round_even(9e-1 - 1e-2 * (row_number() OVER (PARTITION BY qid ORDER BY door_count DESC, last DESC) - 1), 3) AS score FROM c""")
 def geocode_street(spark, sf_dir):
     return geocode.search(_questions(spark, sf_dir, _STREETS), derived.doors(spark, sf_dir)).select("qid", "street", "door_count", "match_type", "score")
 
 
-# the same for every customer, not only the first ones
-
-
-@query(ORACLES["geocode_exact"].replace(" WHERE c_custkey < 150", ""))
-def geocode_exact_all(spark, sf_dir):
-    found = geocode.search(_questions(spark, sf_dir, _QUERIES.replace(" WHERE c_custkey < 150", "")), derived.doors(spark, sf_dir))
-    return found.where("match_type = 'exact'").select("qid", "street", "number", "door_count", "match_type", "score", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
-
-
-@query(ORACLES["geocode_nearby_number"].replace(" WHERE c_custkey < 60", ""))
-def geocode_nearby_number_all(spark, sf_dir):
-    return geocode.search(_questions(spark, sf_dir, _BEYOND.replace(" WHERE c_custkey < 60", "")), derived.doors(spark, sf_dir)).select("qid", "street", "number", "door_count", "match_type", "score")
-
-
-@query(ORACLES["geocode_street"].replace(" WHERE c_custkey < 150", ""))
-def geocode_street_all(spark, sf_dir):
-    return geocode.search(_questions(spark, sf_dir, _STREETS.replace(" WHERE c_custkey < 150", "")), derived.doors(spark, sf_dir)).select("qid", "street", "door_count", "match_type", "score")
-
-
 @query()
 def geocode_fuzzy(spark, sf_dir):
     q = spark.createDataFrame([(1, "22 Rwo 3 Street"), (2, "14 Mery Street"), (3, "12 Nonexistent Boulevard"), (4, "Gost Road")], "qid int, q string")
@@ -268,19 +249,9 @@ def reverse_geocode(spark, sf_dir):
     return geocode.reverse(_points(spark, sf_dir), derived.doors(spark, sf_dir)).select("pid", F.round("distance_m", 3).alias("distance_m"))
 
 
-@query(f"""WITH {_DOORS}, a AS (SELECT * FROM doors WHERE ord < 60)
+@query(f"""WITH {_DOORS}, a AS (SELECT * FROM doors)
 SELECT a.osm_id, round(min({_dist("a.lat", "a.lon", "d.lat", "d.lon")}), 3) AS distance_m FROM a JOIN doors d ON a.street <> d.street GROUP BY a.osm_id""")
 def nearest_other_street(spark, sf_dir):
-    d = derived.doors(spark, sf_dir)
-    a = d.where("ord < 60")
-    other = geocode.nearest_other_street(a.select("street", "lat", "lon"), d)
-    back = a.join(other, ["street", "lat", "lon"]).select(F.col("osm_id"), F.col("lat").alias("y"), F.col("lon").alias("x"), "other")
-    near = back.join(d.select(F.col("street").alias("other"), "lat", "lon"), "other").groupBy("osm_id").agg(F.min(geo.haversine(F.col("y"), F.col("x"), F.col("lat"), F.col("lon"))).alias("m"))
-    return near.select("osm_id", F.round("m", 3).alias("distance_m"))
-
-
-@query(ORACLES["nearest_other_street"].replace(" WHERE ord < 60", ""))
-def nearest_other_street_all(spark, sf_dir):
     d = derived.doors(spark, sf_dir)
     # doors at one place have one answer
     places = d.groupBy("street", "lat", "lon").agg(F.min("ord").alias("ord"))

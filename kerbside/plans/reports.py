@@ -12,6 +12,18 @@ RADIUS = (50.0, 3000.0)
 CELL = 1e-2
 
 
+def checked_radius(rows: DataFrame) -> DataFrame:
+    """Fails on a radius_m out of RADIUS when it is read."""
+    low, high = RADIUS
+    wrong = F.raise_error(F.concat(F.lit(f"radius_m must be from {low} to {high}, not "), F.col("radius_m").cast("string"))).cast("double")
+    return rows.withColumn("radius_m", F.when(F.col("radius_m").between(low, high), F.col("radius_m").cast("double")).otherwise(wrong))
+
+
+def totals(rows: DataFrame, minutes: Column) -> DataFrame:
+    """What a page adds up to: rows, doors, minutes."""
+    return rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum("door_count"), F.lit(0)).alias("doors"), F.bround(F.coalesce(F.sum(minutes), F.lit(0.0)), 1).alias("minutes"))
+
+
 def effort_columns(doors: Column, session_minutes: int = 180, seconds_per_door: int = 75, overhead: float = 0.35) -> list[Column]:
     """Doors that a pair knocks in a session, and sessions for all of them."""
     per = max(1, int(session_minutes * (1 - overhead) * 60 / seconds_per_door))
@@ -123,4 +135,4 @@ def page(df: DataFrame, order: list, limit: int, most: int) -> tuple[DataFrame,
     """The first rows in order, and whether there are more."""
     if not 1 <= limit <= most:
         raise ValueError(f"limit must be from 1 to {most}")
-    return df.orderBy(*order).limit(limit), len(df.select(F.lit(1)).limit(limit + 1).take(limit + 1)) > limit
+    return df.orderBy(*order).limit(limit), df.limit(limit + 1).count() > limit

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
 import os
 import time
@@ -21,21 +23,24 @@ class SourceError(RuntimeError):
     """Every attempt failed; the last failure is the cause."""
 
 
-def boundary_query(relation_id: int, timeout_s: int) -> str:
-    """Members come with geometry only in body mode."""
-    return f"[out:json][timeout:{timeout_s}];rel({relation_id});out geom;"
+# Query texts of the extract servers' language.
+BOUNDARY = "[out:json][timeout:{timeout}];rel({relation});out geom;"
+INSIDE = "[out:json][timeout:{timeout}];\nrel({relation});map_to_area->.d;\n{body}\nout {out};"
+ADDRESSES = '(node["addr:housenumber"](area.d);way["addr:housenumber"](area.d););'
+WAYS = 'way["highway"~"^({kinds})$"](area.d);'
 
 
-def _area(relation_id: int, timeout_s: int, body: str, out: str) -> str:
-    return f"[out:json][timeout:{timeout_s}];\nrel({relation_id});map_to_area->.d;\n{body}\nout {out};"
+def boundary_query(relation_id: int, timeout_s: int) -> str:
+    """Members come with geometry only in body mode."""
+    return BOUNDARY.format(timeout=timeout_s, relation=relation_id)
 
 
 def addresses_query(relation_id: int, timeout_s: int) -> str:
-    return _area(relation_id, timeout_s, '(node["addr:housenumber"](area.d);way["addr:housenumber"](area.d););', "center tags")
+    return INSIDE.format(timeout=timeout_s, relation=relation_id, body=ADDRESSES, out="center tags")
 
 
 def ways_query(relation_id: int, timeout_s: int) -> str:
-    return _area(relation_id, timeout_s, f'way["highway"~"^({"|".join(snapshot.WALKABLE)})$"](area.d);', "geom")
+    return INSIDE.format(timeout=timeout_s, relation=relation_id, body=WAYS.format(kinds="|".join(snapshot.WALKABLE)), out="geom")
 
 
 def fault(body: bytes) -> str | None:
@@ -48,38 +53,48 @@ def fault(body: bytes) -> str | None:
     return f"server remark: {remark}" if remark else None
 
 
-def post_form(url: str, query: str, timeout_s: float) -> bytes:
+def post_form(url: str, query: str, timeout_s: float = 300.0) -> bytes:
     data = urllib.parse.urlencode({"data": query}).encode()
     with urllib.request.urlopen(urllib.request.Request(url, data, {"User-Agent": AGENT}), timeout=timeout_s) as r:
         return r.read()
 
 
+def schedule(mirrors: Sequence[str], attempts: int, wait_s: float) -> Iterator[tuple[str, float]]:
+    """The mirror of each attempt, in turn, and the pause before it: none, then doubling."""
+    pauses = itertools.chain([0.0], (wait_s * 2**k for k in itertools.count()))
+    return itertools.islice(zip(itertools.cycle(mirrors), pauses, strict=False), attempts)
+
+
 class Client:
-    """Tries the mirrors in turn, waiting twice as long after each failure."""
+    """Sends queries by a schedule of mirrors and pauses until one gives a usable response."""
 
     def __init__(self, mirrors: Sequence[str], attempts: int = 8, timeout_s: float = 300.0, wait_s: float = 5.0, post: Callable[[str, str], bytes] | None = None, sleep: Callable[[float], None] = time.sleep, note: Callable[[int, str, str], None] | None = None):
         if not mirrors:
             raise ValueError("no mirrors")
-        self.mirrors, self.attempts, self.wait_s, self.sleep = list(mirrors), attempts, wait_s, sleep
-        self.post = post or (lambda url, query: post_form(url, query, timeout_s))
-        self.note = note or (lambda attempt, mirror, text: None)
+        self.plan = lambda: schedule(list(mirrors), attempts, wait_s)
+        self.sleep, self.note = sleep, note or (lambda attempt, mirror, text: None)
+        self.post = post or functools.partial(post_form, timeout_s=timeout_s)
+
+    def one(self, mirror: str, query: str) -> bytes:
+        body = self.post(mirror, query)
+        if why := fault(body):
+            raise SourceError(why)
+        return body
 
     def raw(self, query: str) -> bytes:
-        last: Exception | None = None
-        for attempt in range(self.attempts):
-            mirror = self.mirrors[attempt % len(self.mirrors)]
+        failures: list[Exception] = []
+        for attempt, (mirror, pause) in enumerate(self.plan()):
+            if pause:
+                self.sleep(pause)
             try:
-                body = self.post(mirror, query)
-                if why := fault(body):
-                    raise SourceError(why)
-                self.note(attempt, mirror, f"ok, {len(body)} bytes")
-                return body
+                body = self.one(mirror, query)
             except Exception as e:  # any failure of a mirror is worth another try
-                last = e
+                failures.append(e)
                 self.note(attempt, mirror, f"failed: {e}")
-            if attempt + 1 < self.attempts:
-                self.sleep(self.wait_s * 2**attempt)
-        raise SourceError(f"{self.attempts} attempts on {len(self.mirrors)} mirrors failed, the last with: {last}") from last
+            else:
+                self.note(attempt, mirror, f"ok, {len(body)} bytes")
+                return body
+        raise SourceError(f"{len(failures)} attempts failed, the last with: {failures[-1] if failures else None}") from (failures or [None])[-1]
 
     def elements(self, query: str) -> list[dict]:
         return json.loads(self.raw(query).decode()).get("elements", [])
@@ -136,7 +151,7 @@ def fetch_district(spark: SparkSession, client: Client, relation_id: int, folder
     name, rings = snapshot.parse_boundary(parsed["boundary"])
     if rings.isEmpty():
         raise ValueError(f"relation {relation_id} came without member geometry; it must be asked for in body mode")
-    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssxxx")
+    now = F.concat(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
     meta = name.select("district_name", F.lit(relation_id).cast("long").alias("relation_id"), now.alias("fetched_at"), F.lit("osm").alias("boundary_source"))
     found = snapshot.Snapshot(meta, rings, snapshot.parse_addresses(parsed["addresses"]), snapshot.parse_ways(parsed["ways"]))
     return found, snapshot.ingest_counters(parsed["boundary"], parsed["addresses"], parsed["ways"])

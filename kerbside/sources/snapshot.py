@@ -46,6 +46,16 @@ def _pairs(points: Column) -> Column:
     return F.transform(points, lambda p: F.array(p["lat"], p["lon"]))
 
 
+def stamp(spark: SparkSession, path: str) -> tuple | None:
+    """What tells one state of the files at a path from another, in any file system that Spark reads; None if nothing is there."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in (fs.listStatus(at) if fs.isDirectory(at) else [fs.getFileStatus(at)])))
+
+
 def load(spark: SparkSession, path: str) -> Snapshot:
     """Read a snapshot document. A document of another format fails when it is read."""
     doc = spark.read.schema(DOCUMENT).option("multiLine", True).json(path)

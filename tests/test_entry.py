@@ -41,7 +41,7 @@ def test_geocoding_answers_every_customer(spark):
     db = duckdb.connect()
     for name in ("customer", "nation"):
         db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
-    asked = {"nearest_other_street_all": 1500, "geocode_exact_all": 1200, "geocode_nearby_number_all": 1200, "geocode_street_all": 25}
+    asked = {"nearest_other_street": 1500, "geocode_exact": 1200, "geocode_nearby_number": 1200, "geocode_street": 25}
     for name, least in asked.items():
         df = entry.queries()[name](spark, folder)
         want = db.execute(entry.oracle_sql()[name])
