@@ -9,7 +9,8 @@ Adagrad, so a misspelling that was never seen lies near the words whose n-grams
 it shares. The fitted model collapses to one log-odds per table row, hence one per word.
 
 Training takes a bounded sample of labelled rows: at most ``POSITIVES`` and
-``NEGATIVES`` documents, drawn by a hash of the id over the whole table.
+``NEGATIVES`` documents, drawn by a hash of the id over the whole table, and of
+each at most the ``MOST_ROWS`` heaviest table rows.
 Everything else covers all documents and whole texts.
 
 Null, empty or wordless texts score the prior of the training labels (0.0 if
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 
 POSITIVES, NEGATIVES = 1200, 2800
 BITS, DIM, GRAMS = 18, 8, (3, 4, 5, 6)
+#: Table rows of one training text, the heaviest ones, so that all bags of the sample fit into a quarter of a GB.
+MOST_ROWS = 8192
 EPOCHS, BATCH, RATE, SCALE, SEED = 8, 64, 0.15, 150.0, 7
 #: Neutral words that every text is taken to have besides its own, so that a handful of words is weak evidence.
 PAD = 2.0
@@ -136,11 +139,10 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], rate: floa
     if not len(y) or y.min() == y.max():
         return Model(table, 500.0 * (1 if len(y) and y[0] else -1))
     rng = np.random.default_rng(SEED)
-    e = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
-    start = e.copy()
-    w, b = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
+    # the table starts at zero and the softmax at random, so that a row that was never trained says nothing
+    e = np.zeros((1 << BITS, DIM), np.float32)
+    w, b = rng.uniform(-1 / DIM, 1 / DIM, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     ge, gw, gb = np.full((1 << BITS, 1), 1e-6, np.float32), np.full_like(w, 1e-6), np.full_like(b, 1e-6)
-    seen = np.zeros(1 << BITS, bool)
     for epoch in range(EPOCHS):
         order = rng.permutation(len(y))
         step = RATE * (1 - epoch / EPOCHS) + 1e-3
@@ -158,7 +160,6 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], rate: floa
             dx = p @ w.T
             dw, db = x.T @ p, p.sum(0)
             uniq, back = np.unique(rows, return_inverse=True)
-            seen[uniq] = True
             de = np.stack([np.bincount(back, weights=weights * dx[doc, d], minlength=len(uniq)) for d in range(DIM)], 1).astype(np.float32)
             ge[uniq] += (de**2).mean(1, keepdims=True)
             gw += dw**2
@@ -166,8 +167,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], rate: floa
             e[uniq] -= step * de / np.sqrt(ge[uniq])
             w -= step * dw / np.sqrt(gw)
             b -= step * db / np.sqrt(gb)
-    # rows that no training text has say nothing; what is left of the random start says nothing either
-    log_odds = np.where(seen, (e - start) @ (w[:, 1] - w[:, 0]), 0).astype(np.float32)
+    log_odds = (e @ (w[:, 1] - w[:, 0])).astype(np.float32)
     # back from the sample's share of positives to that of all labelled rows
     sampled = y.mean()
     shift = np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)) - np.log(sampled / (1 - sampled))
@@ -200,6 +200,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         for batch in batches:
             for k in range(batch.num_rows):
                 at, weights = bag(batch.column(2)[k].as_py())
+                if len(at) > MOST_ROWS:
+                    heavy = np.sort(np.argsort(-weights, kind="stable")[:MOST_ROWS])
+                    at, weights = at[heavy], weights[heavy]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([at.tobytes()]), pa.array([weights.tobytes()])], names=["doc_id", "toxic", "at", "weights"])
 
     got = rows.mapInArrow(bags, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, toxic int, at binary, weights binary").collect()
