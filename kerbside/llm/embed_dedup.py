@@ -17,8 +17,10 @@ ever a row.
 
 Only vectors of equal, non-null label and equal length are compared. Vectors
 that are null, zero, or hold a null or non-finite component link with nothing;
-nor does a row with a null id, whose component is null and kept false. Rows that
-share an id are one vertex.
+nor does a row with a null id, whose component is null and kept false. Ids can be
+of any orderable type. Rows that share an id and a vector are copies, linked with
+each other; rows that share an id only are vectors of their own. An empty table
+gives an empty result; columns other than id, vector and label are not read.
 """
 
 from __future__ import annotations
@@ -53,11 +55,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def classes(vectors: DataFrame, key: str, embedding: str, label: str) -> DataFrame:
-    """One row per distinct comparable vector of a label: g_label, g_vec, node (smallest id), times."""
+    """One row per distinct comparable vector of a label: g_label, g_vec, low (smallest id), times, node (64-bit hash of label and vector)."""
     v = F.col(f"`{embedding}`")
     sound = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{key}`").isNotNull() & v.isNotNull() & F.coalesce(sound, F.lit(False)))
-    return rows.groupBy(F.col(f"`{label}`").alias("g_label"), v.alias("g_vec")).agg(F.min(f"`{key}`").alias("node"), F.count("*").alias("times"))
+    return rows.groupBy(F.col(f"`{label}`").alias("g_label"), v.alias("g_vec")).agg(F.min(f"`{key}`").alias("low"), F.count("*").alias("times")).withColumn("node", F.xxhash64("g_label", "g_vec"))
 
 
 def axes(distinct: DataFrame) -> dict[int, np.ndarray]:
@@ -234,10 +236,13 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
 
     links = cut(tiles.select("grp", "a", "b", "ids_a", "times_a", "vecs_a", "ids_b", "times_b", "vecs_b").mapInArrow(run, "node long, n long, low long"))
     count = links.groupBy("node").agg(F.sum("n").alias("n"))
-    roots = components(links.select("node", "low"))
+    roots = components(links.select("node", F.col("low").alias("other")))
     per_class = distinct.join(count, "node", "left").join(roots, "node", "left")
-    per_class = per_class.select("g_label", "g_vec", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", F.col("node")).alias("root"))
-    rows = vectors.select(F.col(f"`{key}`").alias(key), F.col(f"`{embedding}`").alias("v"), F.col(f"`{label}`").alias("l"))
-    own = F.col(key)
-    back = rows.join(per_class, (F.col("l") == F.col("g_label")) & (F.col("v") == F.col("g_vec")) & own.isNotNull(), "left")
-    return back.select(own, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", own).cast("long").alias("component_id"), F.coalesce(own == F.coalesce("root", own), F.lit(False)).alias("kept"))
+    per_class = cut(per_class.select("g_label", "g_vec", "low", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", F.col("node")).alias("root")))
+    lowest = per_class.groupBy("root").agg(F.min("low").alias("least"))
+    per_class = per_class.join(lowest, "root").select("g_label", "g_vec", "n_links", "least")
+    rows = vectors.select(F.col(f"`{key}`").alias("own_key"), F.col(f"`{embedding}`").alias("own_vec"), F.col(f"`{label}`").alias("own_label"))
+    own = F.col("own_key")
+    back = rows.join(per_class, (F.col("own_label") == F.col("g_label")) & (F.col("own_vec") == F.col("g_vec")) & own.isNotNull(), "left")
+    least = F.coalesce("least", own)
+    return back.select(own.alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), least.alias("component_id"), F.coalesce(own == least, F.lit(False)).alias("kept"))
