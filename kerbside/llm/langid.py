@@ -12,7 +12,10 @@ them is a family of its own. Fitting takes a bounded sample: at most
 over the whole table. Only features leave the executors, not texts.
 
 A null text, or one without a letter, is ``und`` with score 0. So is every text
-if nothing could be learned.
+if nothing could be learned. Every row is judged by itself: rows that repeat come
+out alike, and once in the sample. Ties of votes go by summed margins, then by
+name. An empty table gives an empty result. Other columns come back in a struct
+``row``, so their names cannot clash with those that are added.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Families of languages by ISO 639-1 code.
@@ -59,12 +62,22 @@ _FOLD[0x80:] = np.arange(0x80, 0x100)
 def counts(text: str) -> np.ndarray:
     """Hashed trigram counts of the whole text."""
     total = np.zeros(1 << BITS, np.int64)
-    for lo in range(0, len(text), PIECE):
-        b = _FOLD[np.frombuffer(text[lo : lo + PIECE + 2].lower().encode("utf-8", "surrogatepass"), np.uint8)]
-        space = b == 0x20
-        b = np.r_[0x20, b[~(space & np.r_[True, space[:-1]])], 0x20].astype(np.uint32)
+    tail = np.array([0x20], np.uint8)
+
+    def add(b: np.ndarray) -> None:
+        nonlocal total
+        b = b.astype(np.uint32)
         h = (b[:-2] | (b[1:-1] << np.uint32(8)) | (b[2:] << np.uint32(16))) * np.uint32(2654435761)
         total += np.bincount(h >> np.uint32(32 - BITS), minlength=1 << BITS)
+
+    # the last two letters go over each cut, so that pieces count as one text
+    for lo in range(0, len(text), PIECE):
+        b = np.r_[tail, _FOLD[np.frombuffer(text[lo : lo + PIECE].lower().encode("utf-8", "surrogatepass"), np.uint8)]]
+        space = b == 0x20
+        b = b[~(space & np.r_[False, space[:-1]])]
+        add(b)
+        tail = b[-2:]
+    add(np.r_[tail, np.uint8(0x20)])
     return total
 
 
@@ -169,16 +182,20 @@ def train(docs: DataFrame) -> Model:
     if not sizes:
         return Model()
     most = max(2, min(PER_LANGUAGE, SAMPLE // len(sizes)))
-    unit = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, most / n))])
-    chosen = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (unit < share[F.col("lang")]) & F.col("text").rlike(r"\p{L}")).select("lang", "text")
+    # a draw of about twice as many by hash, each row once, then the first ones by hash: exactly so many, or all there are
+    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(1 << 30))
+    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, 2 * most / n))])
+    fit_for = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}")
+    chosen = docs.select("doc_id", "text", "lang").where(fit_for & (draw / float(1 << 30) < share[F.col("lang")])).withColumn("draw", draw)
+    chosen = chosen.dropDuplicates(["lang", "doc_id", "draw"])
+    chosen = chosen.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))).where(F.col("place") <= most).select("lang", "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([features(batch.column(1)[k].as_py()).tobytes()])], names=["lang", "x"])
 
-    got = sorted(((r["lang"], bytes(r["x"])) for r in chosen.mapInArrow(rows, "lang string, x binary").limit(2 * SAMPLE).collect()))
+    got = sorted(((r["lang"], bytes(r["x"])) for r in chosen.mapInArrow(rows, "lang string, x binary").collect()))
     if not got:
         return Model()
     return fit(np.stack([np.frombuffer(x, np.float32) for _, x in got]), [lang for lang, _ in got])

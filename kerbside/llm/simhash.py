@@ -213,8 +213,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     stay = cut(found.groupBy("root").agg(F.min(F.struct("row.key", "row.tk")).alias("s")).select("s.*"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").alias("k"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("t"))
     rows = rows.join(stay, F.col("k").eqNullSafe(F.col("key")) & (F.col("t") == F.col("tk")), "left_semi")
-    # rows that repeat whole are one document
-    return rows.dropDuplicates(["k", "t"]).select("row.*")
+    # rows that repeat key and text are one document: the one with the smallest hash of all its columns stays
+    first = rows.groupBy("k", "t").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return first.select("row.*")
 
 
 def hexed(fp: str = "fp"):
