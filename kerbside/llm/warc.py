@@ -15,7 +15,8 @@ by the skip length without inflating the block of a record that nobody wants.
 Null payload counts as empty. A null id is written empty and read as null; it is
 never the smallest, and where all ids of a payload are null all are responses.
 Rows that repeat the smallest id are all responses. Control characters in a
-header value are percent-encoded.
+header value are percent-encoded, in ids also what would be read otherwise. An empty
+table gives an empty result; columns other than id, URL and payload are not archived.
 """
 
 from __future__ import annotations
@@ -68,14 +69,19 @@ def _value(text: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", text)
 
 
+def ident(key: str | None) -> str:
+    """A record id; null is no name, and every other id, empty or odd, is told by what follows the equals sign."""
+    return f"<{_URN}>" if key is None else f"<{_URN}=" + re.sub(r"[\x00-\x20\x7f%+<>]", lambda m: f"%{ord(m[0]):02X}", key) + ">"
+
+
 def record(key: str | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: str | None, date: str = DATE) -> bytes:
     """One record as a gzip member with skip lengths (compressed and plain)."""
-    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<{_URN}{key or ''}>"), ("WARC-Date", date)]
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", ident(key)), ("WARC-Date", date)]
     if url is not None:
         fields.append(("WARC-Target-URI", _value(url)))
     fields += [("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Payload-Length", str(len(payload)))]
     if kind == "revisit":
-        fields += [("WARC-Refers-To", f"<{_URN}{refers_to}>"), ("WARC-Profile", PROFILE)]
+        fields += [("WARC-Refers-To", ident(refers_to)), ("WARC-Profile", PROFILE)]
         block = b"HTTP/1.1 200 OK\r\n\r\n"
     else:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
@@ -256,7 +262,8 @@ def archive_and_read(pages: DataFrame, key: str = "page_id") -> DataFrame:
     kind = pages.schema[key].dataType
 
     def own(column: str):
-        return F.nullif(F.regexp_extract(column, f"^<{_URN}(.*)>$", 1), F.lit("")).cast(kind)
+        named = F.url_decode(F.regexp_extract(column, f"(?s)^<{_URN}=(.*)>$", 1))
+        return F.when(F.col(column).startswith(f"<{_URN}="), named).cast(kind)
 
     full = read(spark, manifest, folder).where(F.col("warc_type") == "response")
     full = full.select(own("record_id").alias(key), F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), F.col("warc_type").alias("record_type"), F.lit(None).cast(kind).alias("refers_to"))
