@@ -39,6 +39,8 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = os.path.join(tempfile.gettempdir(), f"kerbside-{uuid.uuid4().hex}")
     spark.sparkContext.setCheckpointDir(f"file://{path}")
     return f"file://{path}"
