@@ -139,9 +139,9 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], rate: floa
     if not len(y) or y.min() == y.max():
         return Model(table, 500.0 * (1 if len(y) and y[0] else -1))
     rng = np.random.default_rng(SEED)
-    # the table starts at zero and the softmax at random, so that a row that was never trained says nothing
-    e = np.zeros((1 << BITS, DIM), np.float32)
-    w, b = rng.uniform(-1 / DIM, 1 / DIM, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
+    e = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
+    seen = np.zeros(1 << BITS, bool)
+    w, b = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     ge, gw, gb = np.full((1 << BITS, 1), 1e-6, np.float32), np.full_like(w, 1e-6), np.full_like(b, 1e-6)
     for epoch in range(EPOCHS):
         order = rng.permutation(len(y))
@@ -161,13 +161,15 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], rate: floa
             dw, db = x.T @ p, p.sum(0)
             uniq, back = np.unique(rows, return_inverse=True)
             de = np.stack([np.bincount(back, weights=weights * dx[doc, d], minlength=len(uniq)) for d in range(DIM)], 1).astype(np.float32)
+            seen[uniq] = True
             ge[uniq] += (de**2).mean(1, keepdims=True)
             gw += dw**2
             gb += db**2
             e[uniq] -= step * de / np.sqrt(ge[uniq])
             w -= step * dw / np.sqrt(gw)
             b -= step * db / np.sqrt(gb)
-    log_odds = (e @ (w[:, 1] - w[:, 0])).astype(np.float32)
+    # rows that no training text has say nothing
+    log_odds = np.where(seen, e @ (w[:, 1] - w[:, 0]), 0).astype(np.float32)
     # back from the sample's share of positives to that of all labelled rows
     sampled = y.mean()
     shift = np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)) - np.log(sampled / (1 - sampled))
