@@ -246,3 +246,27 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     back = rows.join(per_class, (F.col("own_label") == F.col("g_label")) & (F.col("own_vec") == F.col("g_vec")) & own.isNotNull(), "left")
     least = F.coalesce("least", own)
     return back.select(own.alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), least.alias("component_id"), F.coalesce(own == least, F.lit(False)).alias("kept"))
+
+
+#: All pairs of a label, for tables whose ids are unique.
+ORACLE = """
+WITH RECURSIVE
+v AS MATERIALIZED (
+  SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n
+  FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+link AS MATERIALIZED (
+  SELECT x.vec_id AS a, y.vec_id AS b
+  FROM v x JOIN v y ON x.label = y.label AND len(x.e) = len(y.e) AND x.vec_id < y.vec_id
+  WHERE x.n > 0 AND y.n > 0 AND list_dot_product(x.e, y.e) / (x.n * y.n) >= 0.93),
+way AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (
+  SELECT DISTINCT a AS id, a AS other FROM way
+  UNION SELECT r.id, w.b FROM reach r JOIN way w ON w.a = r.other),
+root AS (SELECT id, min(other) AS root FROM reach GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM way GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(root.root, e.vec_id) AS component_id,
+  coalesce(coalesce(root.root, e.vec_id) = e.vec_id, false) AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN root ON root.id = e.vec_id
+"""

@@ -103,6 +103,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from kerbside.llm import mixing, warc
+    from kerbside.llm import embed_dedup, lines, mixing, warc
 
-    return {"op6_mixing": mixing.ORACLE, "op9_warc": warc.ORACLE}
+    return {"op1_embedding_dedup": embed_dedup.ORACLE, "op3_line_dedup": lines.ORACLE, "op6_mixing": mixing.ORACLE, "op9_warc": warc.ORACLE}
