@@ -98,11 +98,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", toxicity.held_out("row.doc_id").alias("held_out"), "score", "predicted")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbside.llm import prefix_trie
+
+    prepare(spark)
+    return prefix_trie.trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_bpe": op2_bpe, "op3_line_dedup": op3_line_dedup, "op4_language_id": op4_language_id, "op5_simhash": op5_simhash, "op6_mixing": op6_mixing, "op7_media": op7_media, "op8_token_counts": op8_token_counts, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
+    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_bpe": op2_bpe, "op3_line_dedup": op3_line_dedup, "op4_language_id": op4_language_id, "op5_simhash": op5_simhash, "op6_mixing": op6_mixing, "op7_media": op7_media, "op8_token_counts": op8_token_counts, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity, "op11_prefix_trie": op11_prefix_trie}
 
 
 def oracle_sql() -> dict[str, str]:
-    from kerbside.llm import embed_dedup, lines, mixing, warc
+    from kerbside.llm import embed_dedup, lines, mixing, prefix_trie, warc
 
-    return {"op1_embedding_dedup": embed_dedup.ORACLE, "op3_line_dedup": lines.ORACLE, "op6_mixing": mixing.ORACLE, "op9_warc": warc.ORACLE}
+    return {"op1_embedding_dedup": embed_dedup.ORACLE, "op3_line_dedup": lines.ORACLE, "op6_mixing": mixing.ORACLE, "op9_warc": warc.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE}
