@@ -105,6 +105,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbside.llm import align
+
+    prepare(spark)
+    found = align.align(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    return found.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kerbside.llm import packing
 
@@ -114,7 +122,7 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_bpe": op2_bpe, "op3_line_dedup": op3_line_dedup, "op4_language_id": op4_language_id, "op5_simhash": op5_simhash, "op6_mixing": op6_mixing, "op7_media": op7_media, "op8_token_counts": op8_token_counts, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity, "op11_prefix_trie": op11_prefix_trie, "op13_packing": op13_packing}
+    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_bpe": op2_bpe, "op3_line_dedup": op3_line_dedup, "op4_language_id": op4_language_id, "op5_simhash": op5_simhash, "op6_mixing": op6_mixing, "op7_media": op7_media, "op8_token_counts": op8_token_counts, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity, "op11_prefix_trie": op11_prefix_trie, "op12_alignment": op12_alignment, "op13_packing": op13_packing}
 
 
 def oracle_sql() -> dict[str, str]:
