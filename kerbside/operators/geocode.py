@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from kerbside.functions import geo, text
+from kerbside.operators import names
 from kerbside.operators.stops import spatial_clusters
 from kerbside.runtime import cut
 
-ALIKE = 0.8
 NEAR_CELL = 4e-3
 #: Degrees from which on nine cells cover the globe.
 WHOLE = 360.0
@@ -24,41 +20,20 @@ def _first(df: DataFrame, by: list[str], *order) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-@F.pandas_udf(DoubleType())
-def ratio(variant: pd.Series, street: pd.Series) -> pd.Series:
-    """Ratcliff/Obershelp similarity of the variant against the street; 0 where the street would not pass as close to it.
-
-    The test whether it is close compares the other way round, which may differ.
-    """
-
-    def one(a: str, b: str) -> float:
-        return difflib.SequenceMatcher(None, a, b).ratio() if difflib.SequenceMatcher(None, b, a).ratio() >= ALIKE else 0.0
-
-    return pd.Series([one(a, b) for a, b in zip(variant, street, strict=True)], dtype="float64")
-
-
-@F.pandas_udf(DoubleType())
-def closeness(variant: pd.Series, street: pd.Series) -> pd.Series:
-    """The ratio by which close streets are ranked for one variant."""
-    return pd.Series([difflib.SequenceMatcher(None, b, a).ratio() for a, b in zip(variant, street, strict=True)], dtype="float64")
-
-
 def resolve_streets(parsed: DataFrame, addresses: DataFrame) -> DataFrame:
     """qid, street_norm, score, match_type: the longest variant that is a street, or else up to three that look like one.
 
-    parsed: qid, street. Only queries without an exact street meet the distinct
-    names, and of these only names of a length that can be similar enough.
+    parsed: qid, street. Only the distinct variants of queries without an exact
+    street are looked up by similarity.
     """
     variants = parsed.select("qid", F.posexplode(text.suffix_variants(F.col("street"))).alias("place", "variant"))
     streets = addresses.select("street_norm").distinct()
     exact = variants.join(streets, F.col("variant") == F.col("street_norm"))
     exact = cut(exact.groupBy("qid").agg(F.min_by("street_norm", "place").alias("street_norm"))).select("qid", "street_norm", F.lit(1.0).alias("score"), F.lit("exact").alias("match_type"))
-    open_ = variants.join(exact, "qid", "left_anti").where(F.length("variant") >= 4)
-    v, s = F.length("variant"), F.length("street_norm")
-    pairs = open_.join(streets, 2 * F.least(v, s) >= ALIKE * (v + s))
-    close = pairs.withColumn("ratio", ratio("variant", "street_norm")).where("ratio > 0").withColumn("rank", closeness("variant", "street_norm"))
-    top = Window.partitionBy("qid", "place").orderBy(F.desc("rank"), F.desc("street_norm"))
-    close = close.withColumn("n", F.row_number().over(top)).where("n <= 3")
+    open_ = cut(variants.join(exact, "qid", "left_anti").where(F.length("variant") >= names.SHORTEST))
+    close = names.similar(open_.select(F.col("variant").alias("name")), streets.select(F.col("street_norm").alias("name"))).toDF("variant", "street_norm", "ratio", "rank")
+    top = Window.partitionBy("variant").orderBy(F.desc("rank"), F.desc("street_norm"))
+    close = open_.join(close.withColumn("n", F.row_number().over(top)).where("n <= 3"), "variant")
     best = close.groupBy("qid", "street_norm").agg(F.max("ratio").alias("score"), F.min(F.struct("place", "n")).alias("seen"))
     best = best.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "seen"))).where("n <= 3")
     return exact.unionByName(best.select("qid", "street_norm", "score", F.lit("fuzzy").alias("match_type")))

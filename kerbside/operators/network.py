@@ -8,16 +8,20 @@ point to its own, which makes a distance join an equi-join.
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kerbside.functions import geo, text
 from kerbside.operators import kernels
+from kerbside.operators.components import components
+from kerbside.runtime import cut
 
 SNAP_M = 300.0
 CELL = 4e-3
+#: More segments than any way has.
+WAY_SEGMENTS = 1 << 20
 # Road classes, lanes and speed from which a road counts as busy.
 BUSY_CLASSES = ("trunk", "trunk_link", "primary", "primary_link", "secondary", "secondary_link")
 BUSY_LANES, BUSY_KMH = 4, 60
@@ -80,51 +84,51 @@ def intersections(ways: DataFrame) -> DataFrame:
     return points.select("street_norm", geo.node(F.col("p.lat")).alias("y"), geo.node(F.col("p.lon")).alias("x")).groupBy("y", "x").agg(F.count_distinct("street_norm").alias("streets")).where("streets > 1")
 
 
+def node_number(y: Column, x: Column) -> Column:
+    """A node as one whole number, in the order of its latitude and then longitude."""
+    return (y + 900_000_000) * (1 << 32) + (x + 1_800_000_000)
+
+
+@F.pandas_udf(T.StringType())
+def _five_digits(y: pd.Series, x: pd.Series) -> pd.Series:
+    """Node coordinates as text, rounded from their exact binary values."""
+    return pd.Series([f"{p / 1e7:.5f},{q / 1e7:.5f}" for p, q in zip(y, x, strict=True)], dtype=object)
+
+
 def span_edges(ways: DataFrame) -> DataFrame:
     """Every segment of a named street with the span it belongs to: a maximal run between intersections.
 
-    One street at a time goes to the kernel; which ends are intersections has
-    been joined before.
+    An unbroken node is on one street only, so spans are the connected components
+    of the unbroken nodes, whatever the street's length; a segment between two
+    intersections is one by itself. ``edge_ord`` is the place in the extract (way,
+    then segment), ``span_ord`` orders the spans of a street: by their lowest
+    segment, then by the first. An id is made of the street and the lowest node;
+    spans that share it are numbered.
     """
     breaks = intersections(ways).select("y", "x", F.lit(True).alias("broken"))
     s = segments(named(ways)).withColumn("street_norm", text.normalise_street(F.col("name")))
     for e in "ab":
-        s = s.join(breaks.toDF(f"{e}_y", f"{e}_x", f"{e}_break"), [f"{e}_y", f"{e}_x"], "left")
-    s = s.select("street_norm", "ord", "seg", "osm_id", "highway", "busy", "a_y", "a_x", "b_y", "b_x", F.coalesce("a_break", F.lit(False)).alias("a_break"), F.coalesce("b_break", F.lit(False)).alias("b_break"))
-
-    def group(street: pd.DataFrame) -> pd.DataFrame:
-        street = street.sort_values(["ord", "seg"], kind="stable").reset_index(drop=True)
-        sets = kernels.Sets(range(len(street)))
-        first: dict[tuple[int, int], int] = {}
-        pairs = []
-        for i, r in enumerate(street.itertuples()):
-            a, b = (r.a_y, r.a_x), (r.b_y, r.b_x)
-            pairs.append((min(a, b), max(a, b)))
-            for node, broken in ((a, r.a_break), (b, r.b_break)):
-                if not broken:
-                    sets.join(first.setdefault(node, i), i)
-        runs: dict[int, list[int]] = {}
-        for i in range(len(street)):
-            runs.setdefault(sets.root(i), []).append(i)
-        out = street[["street_norm", "osm_id", "highway", "busy", "a_y", "a_x", "b_y", "b_x"]].copy()
-        out["edge_ord"] = np.arange(len(street), dtype=np.int32)
-        out["span_ord"], out["span_id"] = np.int32(0), ""
-        used: dict[str, int] = {}
-        for place, run in enumerate(sorted(runs.values(), key=lambda run: min(pairs[i] for i in run))):
-            y, x = min(pairs[i][0] for i in run)
-            base = f"{street['street_norm'].iloc[0]}@{y / 1e7:.5f},{x / 1e7:.5f}"
-            used[base] = used.get(base, 0) + 1
-            out.loc[run, "span_ord"] = place
-            out.loc[run, "span_id"] = base if used[base] == 1 else f"{base}+{used[base]}"
-        out["span_ord"] = out["span_ord"].astype(np.int32)
-        return out
-
-    found = s.groupBy("street_norm").applyInPandas(group, "street_norm string, osm_id long, highway string, busy boolean, a_y long, a_x long, b_y long, b_x long, edge_ord int, span_ord int, span_id string")
-    return with_degrees(found)
+        s = s.join(breaks.toDF(f"{e}_y", f"{e}_x", f"{e}_break"), [f"{e}_y", f"{e}_x"], "left").withColumn(e, node_number(F.col(f"{e}_y"), F.col(f"{e}_x")))
+        s = s.withColumn(f"{e}_run", F.when(F.col(f"{e}_break").isNull(), F.col(e)))
+    place = (F.col("ord") * WAY_SEGMENTS + F.col("seg")).alias("edge_ord")
+    s = cut(s.select("street_norm", place, "osm_id", "highway", "busy", "a_y", "a_x", "b_y", "b_x", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), "a_run", "b_run"))
+    roots = components(s.where("a_run is not null and b_run is not null").select("a_run", "b_run"))
+    # a segment belongs to the run of an unbroken end, or stands alone
+    s = s.withColumn("end", F.coalesce("a_run", "b_run")).join(roots.toDF("end", "root"), "end", "left")
+    s = s.withColumn("run", F.struct(F.coalesce("root", "end").alias("node"), F.when(F.col("end").isNull(), F.col("edge_ord")).alias("edge"))).drop("end", "root", "a_run", "b_run")
+    s = cut(s)
+    runs = s.groupBy("street_norm", "run").agg(F.min(F.struct("low", "high", "edge_ord")).alias("first"), F.min("edge_ord").alias("edge")).select("street_norm", "run", F.struct("first.low", "first.high", "edge").alias("span_ord"))
+    lowest = F.col("span_ord.low")
+    y, x = F.shiftright(lowest, 32) - 900_000_000, lowest.bitwiseAND(F.lit((1 << 32) - 1)) - 1_800_000_000
+    base = F.concat("street_norm", F.lit("@"), _five_digits(y, x))
+    nth = F.row_number().over(Window.partitionBy("base").orderBy("span_ord"))
+    runs = runs.withColumn("base", base).withColumn("nth", nth).select(F.col("street_norm").alias("street"), F.col("run").alias("of"), "span_ord", F.when(F.col("nth") == 1, F.col("base")).otherwise(F.concat("base", F.lit("+"), F.col("nth").cast("string"))).alias("span_id"))
+    found = s.join(runs, (F.col("street_norm") == F.col("street")) & F.col("run").eqNullSafe(F.col("of")))
+    return with_degrees(found.select("street_norm", "osm_id", "highway", "busy", "a_y", "a_x", "b_y", "b_x", "edge_ord", "span_ord", "span_id"))
 
 
 def spans(edges: DataFrame) -> DataFrame:
-    """One row per span: length (repeated segments count), busiest class, busy, edges, path (chains of points), nodes."""
+    """One row per span: length (repeated segments count), busiest class, busy, edges, ways in the order they are first used, path (chains of points), nodes."""
     step = geo.haversine(*(F.col(c) for c in ("a_lat", "a_lon", "b_lat", "b_lon")))
     rows = edges.groupBy("street_norm", "span_id", "span_ord").agg(
         F.sum(step).alias("length_m"),
@@ -132,6 +136,7 @@ def spans(edges: DataFrame) -> DataFrame:
         F.bool_or("busy").alias("busy"),
         F.count("*").cast("int").alias("edge_count"),
         F.transform(F.array_sort(F.collect_list(F.struct("edge_ord", "a_lat", "a_lon", "b_lat", "b_lon"))), lambda e: F.array(F.struct(e["a_lat"].alias("lat"), e["a_lon"].alias("lon")), F.struct(e["b_lat"].alias("lat"), e["b_lon"].alias("lon")))).alias("lines"),
+        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("edge_ord", "osm_id"))), lambda e: e["osm_id"])).alias("way_ids"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array(F.struct(F.col("a_y").alias("y"), F.col("a_x").alias("x")), F.struct(F.col("b_y").alias("y"), F.col("b_x").alias("x"))))))).alias("nodes"),
     )
     return rows.withColumn("path", chained("lines")).drop("lines")

@@ -17,7 +17,7 @@ from kerbside.plans import reports
 from kerbside.plans.district import District
 from kerbside.runtime import prepare, table
 from kerbside.sources import district as derived
-from kerbside.sources import geojson
+from kerbside.sources import geojson, town
 
 HUBS = ((1, -3.782e1, 1.4501e2, 800.0), (2, -3.783e1, 1.4502e2, 400.0), (3, -3.7752e1, 1.4501e2, 1200.0))
 BOX = (-3.783e1, 1.45005e2, -3.781e1, 1.4502e2)
@@ -230,10 +230,41 @@ def geocode_street(spark, sf_dir):
     return geocode.search(_questions(spark, sf_dir, _STREETS), derived.doors(spark, sf_dir)).select("qid", "street", "door_count", "match_type", "score")
 
 
+#: Every 50th customer types a street that is misspelt in one of four ways.
+_TYPED = "SELECT c_custkey AS qid, CASE CAST(floor(c_custkey / 50e0) AS BIGINT) % 4 WHEN 0 THEN concat('Rw ', CAST(c_custkey % 17 AS STRING), ' Street') WHEN 1 THEN concat('Roww ', CAST(c_custkey % 13 AS STRING), ' Stret Balwyn') WHEN 2 THEN 'Mery Street' ELSE 'Gohst Roaad' END AS street FROM customer WHERE c_custkey % 50 = 0"
+#: Ratcliff and Obershelp: m is the sum over all windows of their longest common block, the first in x and then in y.
+_MATCHED = """spot AS (SELECT x, y, i, unnest(range(1, length(y) + 1)) AS j FROM (SELECT x, y, unnest(range(1, length(x) + 1)) AS i FROM pair)),
+ext AS MATERIALIZED (SELECT x, y, i, j, max(k) AS n FROM (SELECT *, unnest(range(1, least(length(x) - i, length(y) - j) + 2)) AS k FROM spot) WHERE substr(x, i, k) = substr(y, j, k) GROUP BY ALL),
+win AS (
+  SELECT x, y, 1 AS al, length(x) + 1 AS ah, 1 AS bl, length(y) + 1 AS bh FROM pair
+  UNION ALL
+  SELECT x, y, c.al, c.ah, c.bl, c.bh FROM (
+    SELECT x, y, unnest([{'al': al, 'ah': -b.i, 'bl': bl, 'bh': -b.j}, {'al': b.k - b.i, 'ah': ah, 'bl': b.k - b.j, 'bh': bh}]) AS c FROM (
+      SELECT w.x, w.y, al, ah, bl, bh, max({'k': least(n, ah - i, bh - j), 'i': -i, 'j': -j}) AS b
+      FROM win w JOIN ext e ON e.x = w.x AND e.y = w.y AND e.i >= al AND e.i < ah AND e.j >= bl AND e.j < bh GROUP BY ALL)) WHERE c.al < c.ah AND c.bl < c.bh),
+block AS (SELECT w.x, w.y, al, bl, max(least(n, ah - i, bh - j)) AS k FROM win w JOIN ext e ON e.x = w.x AND e.y = w.y AND e.i >= al AND e.i < ah AND e.j >= bl AND e.j < bh GROUP BY w.x, w.y, al, ah, bl, bh),
+ratio AS (SELECT x, y, 2e0 * sum(k) / (length(x) + length(y)) AS r FROM block GROUP BY x, y)"""
+
+
+@query(f"""WITH RECURSIVE {_DOORS}, t AS ({_TYPED}), w AS (SELECT qid, {_WORDS} AS w FROM t),
+variant AS (SELECT qid, len(w) - n AS place, array_to_string(w[1:n], ' ') AS v FROM w, (SELECT unnest(range(1, 9)) AS n) WHERE n <= len(w)),
+st AS (SELECT DISTINCT lower(street) AS s FROM doors),
+pair AS (SELECT DISTINCT v AS x, s AS y FROM variant, st WHERE length(v) >= 4 UNION SELECT DISTINCT s, v FROM variant, st WHERE length(v) >= 4), {_MATCHED},
+ranked AS (SELECT f.x AS v, f.y AS s, f.r AS score, row_number() OVER (PARTITION BY f.x ORDER BY b.r DESC, f.y DESC) AS n FROM ratio f JOIN ratio b ON b.x = f.y AND b.y = f.x JOIN st ON st.s = f.y WHERE b.r >= 8e-1),
+best AS (SELECT qid, s, max(score) AS score, min({{'place': place, 'n': n}}) AS seen FROM variant JOIN ranked USING (v) WHERE n <= 3 GROUP BY qid, s),
+top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen) AS n FROM best)
+SELECT qid, s AS street_norm, round(score, 6) AS score FROM top WHERE n <= 3""")
+def fuzzy_streets(spark, sf_dir):
+    asked = _questions(spark, sf_dir, _TYPED)
+    found = geocode.resolve_streets(asked, geocode.indexed(derived.doors(spark, sf_dir)))
+    return found.where("match_type = 'fuzzy'").select("qid", "street_norm", F.round("score", 6).alias("score"))
+
+
 @query()
 def geocode_fuzzy(spark, sf_dir):
-    q = spark.createDataFrame([(1, "22 Rwo 3 Street"), (2, "14 Mery Street"), (3, "12 Nonexistent Boulevard"), (4, "Gost Road")], "qid int, q string")
-    return _own(spark, sf_dir).geocode(q)
+    """Whole candidates for what every 50th customer types."""
+    asked = _questions(spark, sf_dir, _TYPED).withColumnRenamed("street", "q")
+    return _own(spark, sf_dir).geocode(asked)
 
 
 _POINTS = "SELECT s_suppkey AS pid, -3.784e1 + (s_suppkey % 37) * 1e-3 + 1.3e-5 AS lat, 1.45e2 + (s_suppkey % 31) * 1.2e-3 + 1.7e-5 AS lon FROM supplier"
@@ -359,6 +390,28 @@ def spans(spark, sf_dir):
     return s.select("street_norm", "edge_count", F.round("length_m", 2).alias("length_m"), "busy")
 
 
+_TOWN = f"segs AS ({town.SEGMENTS_SQL})"
+
+
+@query(f"""WITH RECURSIVE {_TOWN}, s AS (SELECT *, lower(name) AS street, {_N.format("a_lat")} AS ay, {_N.format("a_lon")} AS ax, {_N.format("b_lat")} AS zy, {_N.format("b_lon")} AS zx, ord * 1048576 + seg AS k FROM segs),
+n AS (SELECT street, ay AS y, ax AS x, k FROM s UNION ALL SELECT street, zy, zx, k FROM s),
+brk AS (SELECT y, x FROM n GROUP BY y, x HAVING count(DISTINCT street) > 1),
+free AS (SELECT n.* FROM n ANTI JOIN brk USING (y, x)),
+link AS (SELECT DISTINCT p.k AS a, q.k AS b FROM free p JOIN free q USING (y, x)),
+comp AS (SELECT k AS a, k AS root FROM s UNION SELECT l.b, c.root FROM comp c JOIN link l ON l.a = c.a),
+root AS (SELECT a AS k, min(root) AS root FROM comp GROUP BY a),
+e AS (SELECT s.*, root.root, least({{'y': ay, 'x': ax}}, {{'y': zy, 'x': zx}}) AS low, greatest({{'y': ay, 'x': ax}}, {{'y': zy, 'x': zx}}) AS high FROM s JOIN root USING (k)),
+run AS (SELECT street, root, min({{'l': low, 'h': high}}) AS place, min(k) AS k, count(*) AS edge_count, sum({_dist("a_lat", "a_lon", "b_lat", "b_lon")}) AS m, max({{'busy': highway IN ('primary', 'secondary'), 'h': highway}}) AS top,
+  list(osm_id ORDER BY k) AS ways FROM e GROUP BY street, root),
+named AS (SELECT *, street || '@' || format('{{:.5f}},{{:.5f}}', place.l.y / 1e7, place.l.x / 1e7) AS base FROM run),
+done AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY place, k) AS nth, list_filter(ways, lambda w, i: list_position(ways, w) = i) AS used FROM named)
+SELECT CASE WHEN nth = 1 THEN base ELSE base || '+' || nth END AS span_id, CAST(edge_count AS INTEGER) AS edge_count, round(m, 2) AS length_m, top.h AS highway, array_to_string(used, ',') AS way_ids FROM done""")
+def town_spans(spark, sf_dir):
+    """Spans of the growing town, with their ids and the ways they use; one street of it is as long as the table."""
+    s = network.spans(network.span_edges(town.ways(spark, sf_dir)))
+    return s.select("span_id", "edge_count", F.round("length_m", 2).alias("length_m"), "highway", F.array_join(F.col("way_ids").cast("array<string>"), ",").alias("way_ids"))
+
+
 @query(f"WITH {_SEGS} SELECT lower(name) AS street_norm, bool_or(highway = 'primary') AS busy, CASE WHEN bool_or(highway = 'primary') THEN 'primary' ELSE 'residential' END AS highway FROM segs GROUP BY lower(name)")
 def street_busy(spark, sf_dir):
     s = network.spans(network.span_edges(derived.ways(spark, sf_dir)))
