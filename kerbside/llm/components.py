@@ -1,48 +1,5 @@
-"""Connected components by distributed union-find: alternating large-star and small-star rounds.
+"""Connected components for the operators of this subpackage; see ``kerbside.operators.components``."""
 
-Each round hooks every vertex's neighbours on its smallest neighbour by equi-joins
-and partial aggregates; a hub's edges are never gathered, and a large join key is
-one that Spark's skew handling can split. Rounds end when the edges no longer
-change; the lineage is cut at the shared checkpoint folder after each.
-"""
+from kerbside.operators.components import components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from kerbside.runtime import cut
-
-
-def _mark(e: DataFrame) -> tuple[int, int | None]:
-    r = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return r["n"], r["x"]
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """edges: two columns of one orderable type, any direction, repeats and loops allowed; nulls are no edges.
-
-    Returns ``node`` and ``component``, the smallest vertex reachable, for every
-    vertex that has an edge to another. No edges give no rows.
-    """
-    a, b = edges.columns
-    e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e = cut(e)
-    mark = _mark(e)
-    for _ in range(most_rounds):
-        if not mark[0]:
-            break
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        small = large.join(low, F.col("u") == F.col("k"))
-        pair = F.when(F.col("v") > F.col("m"), F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).otherwise(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v"))))
-        e = cut(small.select(F.inline(pair)).distinct())
-        now = _mark(e)
-        if now == mark:
-            break
-        mark = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+__all__ = ["components"]
