@@ -4,10 +4,12 @@ DataFrame functions only. Two lines are similar if their sets of five-character
 shingles have a Jaccard similarity of 0.8 or more. Lines stand between line feeds; a
 line without a character other than blanks and tabs is blank and never touched.
 
-1. Signatures. A line is signed by the ``LEAST`` smallest of its window hashes: runs
-   of three words in a line of more than 100 characters (windows of 16 characters,
-   where words are long), windows of 10 characters in one of 20 to 125, windows of
-   5 in one of up to 30. Similar lines have a kind in common, as the kinds overlap.
+1. Signatures. A line is signed by the ``LEAST`` smallest of its window hashes: of more
+   than 100 characters, runs of three words where these have up to 10 characters on
+   average and windows of 16 characters where they have 7.5 or more; windows of 10
+   characters in a line of 20 to 125, windows of 5 in one of up to 30. Similar lines
+   have a kind in common, as the kinds overlap: by a quarter in length, by a third in
+   characters a word.
 2. High-recall banding. Each hash of a signature is a key; lines that meet at one
    are candidates if their signatures share ``SHARED``. A key of more than ``CROWD``
    lines forms no pairs by itself: its lines meet at pairs of such keys instead.
@@ -23,7 +25,10 @@ line without a character other than blanks and tabs is blank and never touched.
 3. Candidates are verified by exact Jaccard similarity on the whole lines. Only
    shingles around differing words are looked up in the other line: all others are
    shared.
-4. Distributed union-find over the links; of all lines of a component, equal
+4. Pools are cut into tiles of bounded size; a row holds two tiles and puts out the
+   links between lines of different components, by exact Jaccard similarity of their
+   sets of shingle hashes. What one component holds already is not compared again.
+5. Distributed union-find over the links; of all lines of a component, equal
    lines included, the first by (key, hash of the text, position) stays.
 
 Equal lines are told by their 64-bit hash, and so are shingles. Null texts stay
@@ -51,11 +56,13 @@ LEAST, SHARED = 8, 2
 #: Windows of characters by the lengths of the lines that they are for; longer lines are signed by runs of words.
 WINDOWS = {5: (5, 30), 10: (20, 125)}
 LONG = 100
-#: Characters a word on average beyond which a long line is signed by windows of so many characters instead of word runs.
-LONG_WORDS, WINDOW = 9, 16
+#: Long lines of up to so many characters a word on average are signed by word runs, those of at least so many by windows of so many characters.
+RUN_WORDS, WINDOW_WORDS, WINDOW = 10, 7.5, 16
 #: Minima of the fine shingles, in how many of them candidates agree, and the keys by level: number, and minima of each.
 BINS, AGREE = 16, 8
-LEVELS = ((16, 4), (24, 8), (40, 12))
+LEVELS = ((16, 4), (24, 8))
+#: Lines of a tile, and shingle hashes of one, about.
+TILE, TILE_SHINGLES = 64, 40_000
 #: A character other than blanks and tabs.
 VISIBLE = r"[^\x20\x09-\x0D]"
 _SHINGLE = rf"(?s)(?=(.{{{NARROW}}}))"
@@ -89,7 +96,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         return F.transform(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)), lambda g: F.xxhash64(g))
 
     runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
-    kinds = {3: F.when(size > LONG, F.when(size <= LONG_WORDS * F.size(words), runs).otherwise(windows(WINDOW)))}
+    kinds = {3: F.when((size > LONG) & (size <= RUN_WORDS * F.size(words)), runs), WINDOW: F.when((size > LONG) & (size >= WINDOW_WORDS * F.size(words)), windows(WINDOW))}
     kinds |= {n: F.when(size.between(lo, hi), windows(n)) for n, (lo, hi) in WINDOWS.items()}
     rows = _own_lines(docs).select("id", "line", F.split("line", " ").alias("words"))
     rows = rows.select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), h.alias("h")) for n, h in kinds.items()])).alias("of")).where("of.h is not null")
@@ -130,8 +137,8 @@ def _pairs(few: DataFrame, sigs: DataFrame, alike) -> DataFrame:
     return x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id")) & alike("x.sig", "y.sig")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
-def candidates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """Distinct pairs a < b of line ids worth verifying."""
+def candidates(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs a < b of line ids worth verifying; and the crowds of the last level, as pairs of each line and its crowd's first."""
     sigs = _released(signatures(docs))
     # equal windows of two kinds are two keys
     shared = _released(_shared(sigs.select("id", "kind", F.explode("sig").alias("k")).withColumn("k", F.col("k").bitwiseXOR(F.col("kind")))))
@@ -147,11 +154,12 @@ def candidates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     met = _released(_pairs(few, sigs, alike).distinct())
     packed = both.where(F.col("m") > crowd).select("id").unionByName(sigs.where(F.size("sig") < LEAST).select("id")).distinct()
     pool = cut(_own_lines(docs).join(packed, "id", "left_semi").dropDuplicates(["id"]))
-    return met.unionByName(_fine_candidates(pool, crowd)).distinct()
+    fine, crowds = _fine_candidates(pool, crowd)
+    return met.unionByName(fine).distinct(), crowds
 
 
-def _fine_candidates(pool: DataFrame, crowd: int) -> DataFrame:
-    """Pairs of lines (id, line) by their fine shingles, level by level; a level takes the lines of the last one's crowds."""
+def _fine_candidates(pool: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of lines (id, line) by their fine shingles, level by level; a level takes the lines of the last one's crowds. And the last crowds."""
     sigs = cut(fine_signatures(pool))
     found, level_of = [], sigs
     for level in range(len(LEVELS)):
@@ -159,12 +167,12 @@ def _fine_candidates(pool: DataFrame, crowd: int) -> DataFrame:
         found.append(_pairs(shared.where(F.col("m") <= crowd), sigs, lambda x, y: _agree(x, y) >= AGREE))
         packed = shared.where(F.col("m") > crowd)
         first = packed.groupBy("k").agg(F.min("id").alias("c"))
-        star = packed.join(first, "k").where(F.col("id") != F.col("c")).select("id", "c").distinct()
-        star = star.join(sigs, "id").join(sigs.toDF("c", "c_sig"), "c").where(_agree("sig", "c_sig") >= AGREE)
+        crowds = cut(packed.join(first, "k").where(F.col("id") != F.col("c")).select("id", "c").distinct())
+        star = crowds.join(sigs, "id").join(sigs.toDF("c", "c_sig"), "c").where(_agree("sig", "c_sig") >= AGREE)
         found.append(star.select(F.col("c").alias("a"), F.col("id").alias("b")))
         level_of = sigs.join(packed.select("id").distinct(), "id", "left_semi")
     pairs = reduce(DataFrame.unionByName, found)
-    return cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), crowds
 
 
 def _contexts(line: str) -> Column:
@@ -201,10 +209,47 @@ def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return _own_lines(docs).join(needed, "id", "left_semi").dropDuplicates(["id"])
 
 
+def _tiled(pools: DataFrame, similarity: float) -> DataFrame:
+    """pools: id, pool, root, rest, sh (distinct shingle hashes). Links between lines of different roots of a pool of which one is of the rest.
+
+    Tiles hold about ``TILE`` lines or ``TILE_SHINGLES`` hashes, one line at least.
+    """
+    size = pools.groupBy("pool").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum(F.size("sh")) / TILE_SHINGLES)).cast("int").alias("tiles"))
+    dealt = pools.join(size, "pool").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    tiles = cut(dealt.groupBy("pool", "tiles", "rest", "tile").agg(F.collect_list(F.struct("id", "root", "sh")).alias("of")))
+    # every tile of the rest meets every tile of the pool; two of the rest once
+    left = tiles.where("rest").select("pool", F.col("tile").alias("own"), F.col("of").alias("x"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    both = left.join(tiles.select("pool", "tile", "rest", F.col("of").alias("y")), ["pool", "tile"]).where(~F.col("rest") | (F.col("own") <= F.col("tile")))
+
+    def near(p, q):
+        least, most = F.least(F.size(p["sh"]), F.size(q["sh"])), F.greatest(F.size(p["sh"]), F.size(q["sh"]))
+        shared = F.size(F.array_intersect(p["sh"], q["sh"]))
+        return (p["root"] != q["root"]) & (least >= similarity * most - 1e-9) & (shared * (1 + similarity) >= similarity * (least + most) - 1e-9)
+
+    found = F.flatten(F.transform("x", lambda p: F.transform(F.filter("y", lambda q: near(p, q)), lambda q: F.struct(F.least(p["id"], q["id"]).alias("a"), F.greatest(p["id"], q["id"]).alias("b")))))
+    return both.select(F.inline(found)).distinct()
+
+
+def crowd_links(docs: DataFrame, found: DataFrame, crowds: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The links that ``found`` lacks to join similar lines of the last crowds (pairs id, c): exact, whatever their number."""
+    pools = components(crowds).toDF("id", "pool")
+    member = pools.join(components(found).toDF("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    size = member.groupBy("pool", "root").agg(F.count("*").alias("n"))
+    largest = size.groupBy("pool").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+    member = cut(member.join(largest, "pool").select("id", "pool", "root", (F.col("root") != F.col("most")).alias("rest")))
+    texts = _own_lines(docs).join(member.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    hashes = F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(_SHINGLE), F.lit(1)), lambda g: F.xxhash64(g)))
+    return cut(_tiled(member.join(texts.select("id", hashes.alias("sh")), "id"), similarity))
+
+
 def links(docs: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
     """docs: text. Pairs a, b of line ids that are similar; enough of them to connect all that are found similar."""
-    pairs = _released(candidates(docs, crowd))
-    return _released(verified(_texts(docs, pairs), pairs, similarity))
+    pairs, crowds = candidates(docs, crowd)
+    pairs = _released(pairs)
+    found = _released(verified(_texts(docs, pairs), pairs, similarity))
+    if crowds.isEmpty():
+        return found
+    return _released(found.unionByName(crowd_links(docs, found, crowds, similarity)))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
