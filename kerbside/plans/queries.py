@@ -480,11 +480,33 @@ def zone_plan(spark, sf_dir):
     return zones.zone_table(own.zones(100), own.faces)
 
 
-@query(f"WITH {_DOORS} SELECT count(*) AS doors FROM doors")
+@query(f"""WITH {_DOORS}, {_STOPS} SELECT osm_id FROM doors""")
 def zone_conservation(spark, sf_dir):
-    """Doors kept and dropped add up to all doors."""
+    """Every door, through the stops of the faces that zones keep or drop, exactly once."""
     own = _own(spark, sf_dir)
-    return zones.plan_summary(own.zones(100), own.faces, 100).select((F.col("covered_doors") + F.col("dropped_doors")).alias("doors"))
+    inside = own.zones(100).select("blockface_id").join(own.faces.select("blockface_id", F.explode("stops").alias("s")), "blockface_id")
+    return inside.select(F.explode("s.door_ids").alias("osm_id"))
+
+
+_BISECTED = 60
+
+
+@query(f"""WITH RECURSIVE d AS ({town.DOORS_SQL}),
+t AS (
+  SELECT osm_id, '' AS leaf, row_number() OVER (ORDER BY street, CAST(number AS BIGINT), number, osm_id) AS seq, 1 + ord % 5 AS doors, lat, lon FROM d
+  UNION ALL
+  SELECT osm_id, leaf || CASE WHEN k = 1 OR (before < total * floor(parts / 2e0) / parts AND k < size) THEN '0' ELSE '1' END, k, doors, lat, lon FROM (
+    SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY v, seq) AS k, sum(doors) OVER (PARTITION BY leaf ORDER BY v, seq) - doors AS before FROM (
+      SELECT *, CASE WHEN (n - s) * 111320e0 >= (e - w) * 111320e0 * cos(radians((s + n) / 2)) THEN lat ELSE lon END AS v FROM (
+        SELECT *, count(*) OVER p AS size, sum(doors) OVER p AS total, greatest(1, round_even(sum(doors) OVER p / {_BISECTED}e0, 0)) AS parts,
+          min(lat) OVER p AS s, max(lat) OVER p AS n, min(lon) OVER p AS w, max(lon) OVER p AS e FROM t WINDOW p AS (PARTITION BY leaf))) WHERE parts > 1 AND size > 1)),
+l AS (SELECT leaf, count(*) AS faces, CAST(sum(doors) AS BIGINT) AS doors, string_agg(osm_id, ',' ORDER BY osm_id) AS ids FROM t GROUP BY leaf)
+SELECT leaf, faces, doors, sha256(ids) AS ids_sha256 FROM l WHERE NOT (round_even(doors / {_BISECTED}e0, 0) > 1 AND faces > 1)""")
+def bisection(spark, sf_dir):
+    """The growing town's doors cut into leaves of about 60 residents, as faces of one door each."""
+    faces = town.doors(spark, sf_dir).select(F.col("osm_id").alias("blockface_id"), "street", F.col("number").alias("from_number"), F.lit("both").alias("side"), "lat", "lon", (1 + F.col("ord") % 5).alias("door_count"))
+    leaves = zones.split(faces, _BISECTED).groupBy("leaf").agg(F.count("*").alias("faces"), F.sum("door_count").alias("doors"), F.array_sort(F.collect_list("blockface_id")).alias("ids"))
+    return leaves.select("leaf", "faces", "doors", F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"))
 
 
 @query()
