@@ -20,6 +20,8 @@ from kerbside.runtime import cut
 
 SNAP_M = 300.0
 CELL = 4e-3
+#: Metres within which the small cells answer.
+NEAR_M, NEAR_CELL = 60.0, 8e-4
 #: More segments than any way has.
 WAY_SEGMENTS = 1 << 20
 # Road classes, lanes and speed from which a road counts as busy.
@@ -69,6 +71,11 @@ def walk_edges(ways: DataFrame) -> DataFrame:
     return e.withColumn("length_m", geo.haversine(*(F.col(c) for c in ("a_lat", "a_lon", "b_lat", "b_lon"))))
 
 
+def labels(edges: DataFrame) -> DataFrame:
+    """node (as of node_number) and component of the walking graph, for every node: two nodes are connected if their components are equal."""
+    return components(edges.select(*[node_number(F.col(f"{e}_y"), F.col(f"{e}_x")).alias(e) for e in "ab"]))
+
+
 def graph_counts(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("a_y").alias("y"), F.col("a_x").alias("x")).unionByName(edges.select(F.col("b_y").alias("y"), F.col("b_x").alias("x")))
     return ends.agg(F.count_distinct("y", "x").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges")))
@@ -160,12 +167,24 @@ def nearest_edge(points: DataFrame, edges: DataFrame, id_columns: list[str], ord
 
     points: id columns, lat, lon (and ``same``); edges: a_lat ... b_lon, ``keep``,
     ``order``. ``same`` are columns that must be equal too; ``order`` settles ties.
+
+    The search grows: in small cells every edge within ``NEAR_M`` of a point meets
+    it, which answers nearly all points; only the rest look through large ones.
     """
+    if metres <= NEAR_M:
+        return _nearest_in_cells(points, edges, id_columns, order, keep, same, metres, NEAR_CELL)
+    points = points.select(*id_columns, *[s for s in same if s not in id_columns], "lat", "lon")
+    close = cut(_nearest_in_cells(points, edges, id_columns, order, keep, same, NEAR_M, NEAR_CELL))
+    rest = points.join(close.select(*id_columns), id_columns, "left_anti")
+    return close.unionByName(_nearest_in_cells(rest, edges, id_columns, order, keep, same, metres, CELL))
+
+
+def _nearest_in_cells(points: DataFrame, edges: DataFrame, id_columns: list[str], order: list[str], keep: list[str], same: list[str], metres: float, size: float) -> DataFrame:
     low, high = F.least("a_lat", "b_lat"), F.greatest("a_lat", "b_lat")
     west, east = F.least("a_lon", "b_lon"), F.greatest("a_lon", "b_lon")
     pad = geo.pad_lon(metres, F.greatest(F.abs("a_lat"), F.abs("b_lat")))
-    dealt = edges.withColumn("cy", F.explode(geo.cells_between(low - geo.pad_lat(metres), high + geo.pad_lat(metres), CELL))).withColumn("cx", F.explode(geo.cells_between(west - pad, east + pad, CELL)))
-    own = points.select(*id_columns, *[s for s in same if s not in id_columns], "lat", "lon", geo.cell(F.col("lat"), CELL).alias("cy"), geo.cell(F.col("lon"), CELL).alias("cx"))
+    dealt = edges.withColumn("cy", F.explode(geo.cells_between(low - geo.pad_lat(metres), high + geo.pad_lat(metres), size))).withColumn("cx", F.explode(geo.cells_between(west - pad, east + pad, size)))
+    own = points.select(*id_columns, *[s for s in same if s not in id_columns], "lat", "lon", geo.cell(F.col("lat"), size).alias("cy"), geo.cell(F.col("lon"), size).alias("cx"))
     need = [*same, "cy", "cx"]
     ends = ("a_lat", "a_lon", "b_lat", "b_lon")
     taken = list(dict.fromkeys([*keep, *order, *ends]))

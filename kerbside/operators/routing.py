@@ -63,7 +63,16 @@ def reach(hubs: DataFrame, edges: DataFrame, snaps: DataFrame) -> DataFrame:
     return best.where(F.col("walk_m") <= F.col("cutoff_m")).select("hub_id", "osm_id", "walk_m")
 
 
-def routes(requests: DataFrame, edges: DataFrame, widen: float = 4.0) -> DataFrame:
+def connected(requests: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those snapped requests whose ends lie in one component of the graph: two equi-joins with the labels of the nodes."""
+    found = requests
+    for e in "ft":
+        own = labels.toDF(f"{e}_node", f"{e}_component")
+        found = found.join(own, network.node_number(F.col(f"{e}_a_y"), F.col(f"{e}_a_x")) == F.col(f"{e}_node"))
+    return found.where("f_component = t_component").select(*requests.columns)
+
+
+def routes(requests: DataFrame, edges: DataFrame, widen: float = 4.0, labels: DataFrame | None = None) -> DataFrame:
     """requests: route_id, from_lat, from_lon, to_lat, to_lon. Shortest door-to-door walks.
 
     Returns route_id, distance_m, minutes, crow_m, detour, points; requests whose
@@ -72,7 +81,9 @@ def routes(requests: DataFrame, edges: DataFrame, widen: float = 4.0) -> DataFra
     A route of length L lies within the ellipse of points whose distances to both
     ends add up to L at most. So a route found among the edges of an ellipse of
     size B is shortest if it is no longer than B; if not, or if none is found, the
-    request is tried again on a larger ellipse, until it holds all edges.
+    request is tried again on a larger ellipse, until it holds all edges. Requests
+    without a route on the first ellipse are looked up in ``labels`` (made if none
+    are given): those whose ends are not connected go no further.
     """
     ends = [network.edge_snaps(requests.select("route_id", F.col(f"{e}_lat").alias("lat"), F.col(f"{e}_lon").alias("lon")), edges, ["route_id"]).toDF("route_id", *[f"{e[0]}_{c}" for c in ("a_y", "a_x", "b_y", "b_x", "offset_m", "snap_lat", "snap_lon", "to_a_m", "to_b_m")]) for e in ("from", "to")]
     crow = geo.haversine(*(F.col(c) for c in ("from_lat", "from_lon", "to_lat", "to_lon")))
@@ -91,7 +102,7 @@ def routes(requests: DataFrame, edges: DataFrame, widen: float = 4.0) -> DataFra
     def search(group: pd.DataFrame) -> pd.DataFrame:
         h = group.iloc[0]
         fa, fb, ta, tb = (h.f_a_y, h.f_a_x), (h.f_b_y, h.f_b_x), (h.t_a_y, h.t_a_x), (h.t_b_y, h.t_b_x)
-        goal = (None, None)
+        goal = (1 << 62, 0)  # sorts with nodes, and is none
         links = [((r.a_y, r.a_x), (r.b_y, r.b_x), r.length_m) for r in group.itertuples()]
         links += [(ta, goal, h.t_to_a_m), (tb, goal, h.t_to_b_m)]
         first = {fa: h.f_to_a_m}
@@ -107,8 +118,11 @@ def routes(requests: DataFrame, edges: DataFrame, widen: float = 4.0) -> DataFra
                 n = came[n]
         return pd.DataFrame({"route_id": [h.route_id], "network_m": [length], "via": [via[::-1]]})
 
-    found = None
+    found, tries = None, 0
     while whole and not left.isEmpty():
+        tries += 1
+        if tries == 2:
+            left = cut(connected(left, labels if labels is not None else network.labels(edges)))
         span = F.col("bound") / 2
         mid_lat, mid_lon = (F.col("f_snap_lat") + F.col("t_snap_lat")) / 2, (F.col("f_snap_lon") + F.col("t_snap_lon")) / 2
         pad_y = span * 1.01 / geo.DEGREE_M

@@ -70,6 +70,7 @@ class District:
     rings = property(lambda self: self._keep("ring", lambda: self.source.rings))
     stops = property(lambda self: self._keep("stop", lambda: stopping.build_stops(self.addresses)))
     walk_edges = property(lambda self: self._keep("walk_edge", lambda: network.walk_edges(self.ways)))
+    walk_labels = property(lambda self: self._keep("walk_label", lambda: network.labels(self.walk_edges)))
     span_edges = property(lambda self: self._keep("span_edge", lambda: network.span_edges(self.ways)))
     spans = property(lambda self: self._keep("span", lambda: network.spans(self.span_edges)))
     snaps = property(lambda self: self._keep("edge_snap", lambda: network.edge_snaps(self.addresses, self.walk_edges, ["osm_id"])))
@@ -183,5 +184,5 @@ class District:
         return geojson.features(rows, F.concat("zone_id", F.lit("/"), "blockface_id"), geojson.face_geometry(F.col("path"), F.col("stops")), shown)
 
     def routes(self, requests: DataFrame) -> DataFrame:
-        found = routing.routes(requests, self.walk_edges)
+        found = routing.routes(requests, self.walk_edges, labels=self._kept.get("walk_label"))
         return found.select("route_id", F.bround("distance_m", 1).alias("distance_m"), F.bround("minutes", 1).alias("minutes"), F.bround("crow_m", 1).alias("crow_flies_m"), F.col("detour").alias("detour_ratio"), geojson.line(F.col("points")).alias("geometry"))

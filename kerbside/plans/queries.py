@@ -46,6 +46,8 @@ _HUB_VALUES = ", ".join(f"({i}, {lat!r}e0, {lon!r}e0, {r!r}e0)" for i, lat, lon,
 _HUBS = f"hubs AS (SELECT * FROM (VALUES {_HUB_VALUES}) t(hub_id, lat, lon, radius_m))"
 _DOORS = f"doors AS ({derived.DOORS_SQL})"
 _SEGS = f"segs AS ({derived.SEGMENTS_SQL})"
+_TOWN = f"segs AS ({town.SEGMENTS_SQL})"
+_N = "CAST(round({} * 1e7) AS BIGINT)"
 
 
 def _dist(a: str, b: str, c: str, d: str) -> str:
@@ -62,6 +64,38 @@ def _offset(p: str, s: str) -> str:
     return f"(sqrt(pow({ax} + {t} * {dx}, 2) + pow({ay} + {t} * {dy}, 2)) * 111320e0)"
 
 
+def _share(p: str, s: str) -> str:
+    """Where on segment s, from 0 to 1, the foot of point p lies in the flat frame."""
+    k = f"cos(radians({p}.lat))"
+    ax, ay = f"(({s}.a_lon - {p}.lon) * {k})", f"({s}.a_lat - {p}.lat)"
+    dx, dy = f"((({s}.b_lon - {p}.lon) * {k}) - {ax})", f"(({s}.b_lat - {p}.lat) - {ay})"
+    return f"greatest(0e0, least(1e0, -({ax} * {dx} + {ay} * {dy}) / ({dx} * {dx} + {dy} * {dy})))"
+
+
+_FOOT = "(a_lat + {0} * (b_lat - a_lat))", "(a_lon + {0} * (b_lon - a_lon))"
+
+
+def _to(end: str) -> str:
+    """Metres from the foot of p on e to one end of e."""
+    foot = [f.format(_share("p", "e")) for f in _FOOT]
+    return _dist(*foot, f"{end}_lat", f"{end}_lon")
+
+
+def _num(n: str) -> str:
+    """A node as one number."""
+    return f"(({n}.y + 900000000) * 4294967296 + {n}.x + 1800000000)"
+
+
+#: The walking graph of segs: edges with their lower node first, and steps in both directions.
+_EDGES = f"""ends AS (SELECT {{'y': {_N.format("a_lat")}, 'x': {_N.format("a_lon")}}} AS p, {{'y': {_N.format("b_lat")}, 'x': {_N.format("b_lon")}}} AS q FROM segs),
+edge AS (SELECT DISTINCT least(p, q) AS a, greatest(p, q) AS b FROM ends WHERE p <> q),
+e AS MATERIALIZED (SELECT *, {_dist("a_lat", "a_lon", "b_lat", "b_lon")} AS w FROM (SELECT a, b, a.y / 1e7 AS a_lat, a.x / 1e7 AS a_lon, b.y / 1e7 AS b_lat, b.x / 1e7 AS b_lon FROM edge)),
+step AS MATERIALIZED (SELECT {_num('a')} AS p, {_num('b')} AS q, w FROM e UNION ALL SELECT {_num('b')}, {_num('a')}, w FROM e)"""
+#: The nearest edge of point p (m, a, b, to_a, to_b), among those beside it.
+_NEAREST = f"min({{'m': {_offset('p', 'e')}, 'a': a, 'b': b, 'to_a': {_to('a')}, 'to_b': {_to('b')}}})"
+_BESIDE = "least(e.a_lat, e.b_lat) - 3e-3 < p.lat AND greatest(e.a_lat, e.b_lat) + 3e-3 > p.lat AND least(e.a_lon, e.b_lon) - 4e-3 < p.lon AND greatest(e.a_lon, e.b_lon) + 4e-3 > p.lon"
+
+
 #: Stops in closed form: on this layout 200 m clusters are (street, number), Mary Street split by latitude.
 _STOPS = """stops AS (
   SELECT concat('s', min(osm_id)) AS stop_id, street, number, lat > -3.778e1 AS far, avg(lat) AS lat, avg(lon) AS lon, CAST(count(*) AS BIGINT) AS door_count
@@ -315,12 +349,24 @@ def hub_preview_walk(spark, sf_dir):
     return _own(spark, sf_dir).hub_preview(hub_table(spark)).select("hub_id", "inside_district", "nearest_address", "walk.*")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SEGS}, {_DOORS}, {_HUBS}, {_EDGES},
+door AS MATERIALIZED (SELECT osm_id, {_NEAREST} AS s FROM doors p JOIN e ON {_BESIDE} GROUP BY osm_id),
+hub AS MATERIALIZED (SELECT hub_id, radius_m, {_NEAREST} AS s FROM hubs p JOIN e ON {_BESIDE} GROUP BY hub_id, radius_m),
+go(hub_id, node, d) USING KEY (hub_id, node) AS (
+  SELECT hub_id, node, min(d) FROM (SELECT hub_id, radius_m, {_num('s.a')} AS node, s.to_a AS d FROM hub UNION ALL SELECT hub_id, radius_m, {_num('s.b')}, s.to_b FROM hub) WHERE d <= radius_m GROUP BY hub_id, node
+  UNION
+  SELECT n.hub_id, n.node, n.d FROM (SELECT g.hub_id, s.q AS node, min(g.d + s.w) AS d FROM go g JOIN step s ON s.p = g.node GROUP BY g.hub_id, s.q) n JOIN hub h ON h.hub_id = n.hub_id
+    LEFT JOIN recurring.go o ON o.hub_id = n.hub_id AND o.node = n.node WHERE n.d <= h.radius_m AND (o.d IS NULL OR n.d < o.d)),
+way AS (
+  SELECT hub_id, osm_id, d + door.s.to_a + door.s.m AS m FROM go JOIN door ON {_num('door.s.a')} = node UNION ALL SELECT hub_id, osm_id, d + door.s.to_b + door.s.m FROM go JOIN door ON {_num('door.s.b')} = node
+  UNION ALL SELECT hub_id, osm_id, abs(door.s.to_a - hub.s.to_a) + door.s.m FROM hub JOIN door ON door.s.a = hub.s.a AND door.s.b = hub.s.b)
+SELECT hub_id, osm_id, round(min(way.m) + any_value(hub.s.m), 3) AS walk_m FROM way JOIN hub USING (hub_id) WHERE hub.s.m <= 300 GROUP BY hub_id, osm_id, radius_m HAVING min(way.m) + any_value(hub.s.m) <= radius_m""")
 def walk_reach(spark, sf_dir):
     from kerbside.operators import routing
 
     own = _own(spark, sf_dir)
-    return routing.reach(hub_table(spark).withColumnRenamed("radius_m", "cutoff_m"), own.walk_edges, own.snaps)
+    found = routing.reach(hub_table(spark).withColumnRenamed("radius_m", "cutoff_m"), own.walk_edges, own.snaps)
+    return found.select("hub_id", "osm_id", F.round("walk_m", 3).alias("walk_m"))
 
 
 @query()
@@ -329,6 +375,32 @@ def walk_route(spark, sf_dir):
     return _own(spark, sf_dir).routes(spark.createDataFrame(r, "route_id int, from_lat double, from_lon double, to_lat double, to_lon double"))
 
 
+#: Every 50th door of the growing town to one far away from it.
+_TRIPS = f"SELECT f.ord AS route_id, f.lat AS from_lat, f.lon AS from_lon, t.lat AS to_lat, t.lon AS to_lon FROM ({town.DOORS_SQL}) f JOIN ({town.DOORS_SQL}) t ON t.ord = CASE WHEN f.ord > 333 THEN f.ord - 333 ELSE f.ord + 17 END WHERE f.ord % 50 = 0"
+
+
+_WALK = f"""{_EDGES},
+point AS (SELECT route_id, 'f' AS side, from_lat AS lat, from_lon AS lon FROM trip UNION ALL SELECT route_id, 't', to_lat, to_lon FROM trip),
+near AS (SELECT route_id, side, {_NEAREST} AS s FROM point p JOIN e ON {_BESIDE} GROUP BY route_id, side),
+snap AS MATERIALIZED (SELECT f.route_id, f.s AS f, t.s AS t FROM near f JOIN near t USING (route_id) WHERE f.side = 'f' AND t.side = 't' AND f.s.m <= 300 AND t.s.m <= 300),
+go(route_id, node, d) USING KEY (route_id, node) AS (
+  SELECT route_id, node, min(d) FROM (SELECT route_id, {_num('f.a')} AS node, f.to_a AS d FROM snap UNION ALL SELECT route_id, {_num('f.b')}, f.to_b FROM snap) GROUP BY route_id, node
+  UNION
+  SELECT n.route_id, n.node, n.d FROM (SELECT g.route_id, s.q AS node, min(g.d + s.w) AS d FROM go g JOIN step s ON s.p = g.node GROUP BY g.route_id, s.q) n
+    LEFT JOIN recurring.go o ON o.route_id = n.route_id AND o.node = n.node WHERE o.d IS NULL OR n.d < o.d)"""
+
+
+@query(f"""WITH RECURSIVE {_TOWN}, trip AS ({_TRIPS}), {_WALK},
+found AS (SELECT route_id, f.m + t.m + least(coalesce(min(d + CASE WHEN g.node = {_num('t.a')} THEN t.to_a ELSE t.to_b END), 'infinity'::DOUBLE), CASE WHEN f.a = t.a AND f.b = t.b THEN abs(f.to_a - t.to_a) ELSE 'infinity'::DOUBLE END) AS m
+  FROM snap LEFT JOIN go g USING (route_id) WHERE g.node = {_num('t.a')} OR g.node = {_num('t.b')} OR (f.a = t.a AND f.b = t.b) GROUP BY route_id, f, t)
+SELECT route_id, round(m, 2) AS distance_m FROM found WHERE m < 'infinity'::DOUBLE""")
+def town_routes(spark, sf_dir):
+    from kerbside.operators import routing
+
+    trips = town.over(spark, sf_dir, _TRIPS)
+    return routing.routes(trips, network.walk_edges(town.ways(spark, sf_dir))).select("route_id", F.round("distance_m", 2).alias("distance_m"))
+
+
 # boundary
 
 _RING = ((-37.845, 144.999), (-37.845, 145.03), (-37.83, 145.02), (-37.815, 145.039), (-37.79, 145.02), (-37.805, 144.999))
@@ -358,9 +430,6 @@ def boundary_bbox(spark, sf_dir):
 
 # network
 
-_N = "CAST(round({} * 1e7) AS BIGINT)"
-
-
 @query(f"""WITH {_SEGS} SELECT least({_N.format("a_lat")}, {_N.format("b_lat")}) AS low_y, count(*) AS edges, round(sum({_dist("a_lat", "a_lon", "b_lat", "b_lon")}), 2) AS metres FROM segs GROUP BY 1""")
 def walk_edges(spark, sf_dir):
     e = network.walk_edges(derived.ways(spark, sf_dir))
@@ -390,9 +459,6 @@ def spans(spark, sf_dir):
     return s.select("street_norm", "edge_count", F.round("length_m", 2).alias("length_m"), "busy")
 
 
-_TOWN = f"segs AS ({town.SEGMENTS_SQL})"
-
-
 @query(f"""WITH RECURSIVE {_TOWN}, s AS (SELECT *, lower(name) AS street, {_N.format("a_lat")} AS ay, {_N.format("a_lon")} AS ax, {_N.format("b_lat")} AS zy, {_N.format("b_lon")} AS zx, ord * 1048576 + seg AS k FROM segs),
 n AS (SELECT street, ay AS y, ax AS x, k FROM s UNION ALL SELECT street, zy, zx, k FROM s),
 brk AS (SELECT y, x FROM n GROUP BY y, x HAVING count(DISTINCT street) > 1),
@@ -418,11 +484,19 @@ def street_busy(spark, sf_dir):
     return s.groupBy("street_norm").agg(F.bool_or("busy").alias("busy"), network.busiest().alias("highway"))
 
 
-@query(f"""WITH {_DOORS}, {_SEGS}, o AS (SELECT d.osm_id, {_offset("d", "s")} AS m FROM doors d CROSS JOIN segs s)
-SELECT osm_id, round(min(m), 3) AS offset_m FROM o GROUP BY osm_id HAVING min(m) <= 300""")
+@query(f"""WITH {_DOORS}, {_SEGS}, {_EDGES}, near AS (SELECT osm_id, {_NEAREST} AS s FROM doors p JOIN e ON {_BESIDE} GROUP BY osm_id)
+SELECT osm_id, round(s.m, 3) AS offset_m, s.a.y AS a_y, s.a.x AS a_x, s.b.y AS b_y, s.b.x AS b_x, round(s.to_a, 2) AS to_a_m FROM near WHERE s.m <= 300""")
 def edge_snap(spark, sf_dir):
     s = network.edge_snaps(derived.doors(spark, sf_dir), network.walk_edges(derived.ways(spark, sf_dir)), ["osm_id"])
-    return s.select("osm_id", F.round("offset_m", 3).alias("offset_m"))
+    return s.select("osm_id", F.round("offset_m", 3).alias("offset_m"), "a_y", "a_x", "b_y", "b_x", F.round("to_a_m", 2).alias("to_a_m"))
+
+
+@query(f"""WITH d AS ({town.DOORS_SQL}), {_TOWN}, {_EDGES}, near AS (SELECT osm_id, {_NEAREST} AS s FROM d p JOIN e ON {_BESIDE} GROUP BY osm_id)
+SELECT osm_id, round(s.m, 3) AS offset_m, s.a.y AS a_y, s.a.x AS a_x, s.b.y AS b_y, s.b.x AS b_x FROM near WHERE s.m <= 300""")
+def town_snaps(spark, sf_dir):
+    """The nearest edge of every door of the growing town."""
+    s = network.edge_snaps(town.doors(spark, sf_dir), network.walk_edges(town.ways(spark, sf_dir)), ["osm_id"])
+    return s.select("osm_id", F.round("offset_m", 3).alias("offset_m"), "a_y", "a_x", "b_y", "b_x")
 
 
 @query(f"""WITH {_DOORS}, {_STOPS}, {_SEGS}, o AS (SELECT p.stop_id, {_offset("p", "s")} AS m FROM stops p JOIN segs s ON p.street = s.name)

@@ -42,18 +42,19 @@ UNION ALL SELECT osm_id, 1, osm_id, name, highway, m_lat, m_lon, b_lat, b_lon FR
 DOORS_SQL = f"SELECT concat('n', CAST(i AS STRING)) AS osm_id, i AS ord, lat + 3e-4 AS lat, lon + 2e-4 + (i % 7) * 1e-5 AS lon, CAST(1 + r AS STRING) AS number, concat('Walk ', CAST(c AS STRING)) AS street FROM ({NODES_SQL}) n"
 
 
-def _over(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def over(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The result of SQL over customer."""
     return spark.sql(sql.replace("FROM customer", "FROM {customer}"), customer=table(spark, sf_dir, "customer"))
 
 
 def doors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """osm_id, ord, lat, lon, number, street."""
-    return _over(spark, sf_dir, DOORS_SQL)
+    return over(spark, sf_dir, DOORS_SQL)
 
 
 def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The way table: ord, osm_id, geometry, tags."""
-    return _over(spark, sf_dir, WAYS_SQL).selectExpr(
+    return over(spark, sf_dir, WAYS_SQL).selectExpr(
         "osm_id AS ord",
         "osm_id",
         "array(named_struct('lat', a_lat, 'lon', a_lon), named_struct('lat', m_lat, 'lon', m_lon), named_struct('lat', b_lat, 'lon', b_lon)) AS geometry",
