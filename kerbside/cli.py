@@ -57,16 +57,17 @@ def main(argv: list[str] | None = None) -> int:
     sub.add_parser("report")
     args = parser.parse_args(argv)
     settings = Settings.from_environment()
-    if args.command == "fetch-district" and os.path.exists(settings.snapshot_path) and not args.force:
+    spark = SparkSession.builder.getOrCreate()
+    there = snapshot.stamp(spark, settings.snapshot_path) is not None  # in any file system that Spark reads
+    if args.command == "fetch-district" and there and not args.force:
         print(f"{settings.snapshot_path} is there already; --force fetches it again")
         return 0
-    spark = SparkSession.builder.getOrCreate()
     if args.command == "fetch-district":
         found, counters = overpass.fetch_district(spark, overpass.Client(settings.mirrors), settings.relation_id, f"{settings.data_dir}/raw", progress=print)
         snapshot.save(found, settings.snapshot_path)
         print(counters.first().asDict())
         return 0
-    if not os.path.exists(settings.snapshot_path):
+    if not there:
         print(f"no snapshot at {settings.snapshot_path}", file=sys.stderr)
         return 1
     print("\n".join(report_lines(District.open(spark, settings.snapshot_path))))

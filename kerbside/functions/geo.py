@@ -88,6 +88,7 @@ def line_length(points: Column) -> Column:
 
 
 def interpolate(a: Column, b: Column, share: Column) -> Column:
+    """The place so far from a to b, both structs of lat and lon."""
     return F.struct((a["lat"] + (b["lat"] - a["lat"]) * share).alias("lat"), (a["lon"] + (b["lon"] - a["lon"]) * share).alias("lon"))
 
 

@@ -71,10 +71,10 @@ def _off_network(stops: DataFrame, spans: DataFrame) -> DataFrame:
     """
     doors = stops.select("street_norm", "stop_id", "lat", "lon", "street", "number", "door_count", "doors", text.natural_key(F.col("number"))["n"].alias("k_n"))
     groups = spatial_clusters(doors, ["street_norm"], ["street", "k_n", "number", "stop_id"])
-    streets = spans.groupBy("street_norm").agg(F.bool_or("busy").alias("busy"), network.busiest().alias("highway"))
+    streets = network.street_busyness(groups.select("street_norm").distinct(), spans)
     length = groups.groupBy("street_norm", "cluster").agg(_chain_length(F.array_sort(F.collect_list(_member()))).alias("length_m"))
-    rows = groups.join(length, ["street_norm", "cluster"]).join(streets, "street_norm", "left")
-    return rows.withColumn("span_id", F.concat("street_norm", F.lit("~"), F.col("cluster").cast("string"))).withColumn("busy", F.coalesce("busy", F.lit(True))).withColumn("highway", F.coalesce("highway", F.lit(""))).withColumn("off_network", F.lit(True))
+    rows = groups.join(length, ["street_norm", "cluster"]).join(streets, "street_norm")
+    return rows.withColumn("span_id", F.concat("street_norm", F.lit("~"), F.col("cluster").cast("string"))).withColumn("busy", F.coalesce("busy", F.lit(True))).withColumn("off_network", F.lit(True))
 
 
 def measured(faces: DataFrame) -> DataFrame:

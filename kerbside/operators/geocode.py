@@ -10,9 +10,8 @@ from kerbside.operators import names
 from kerbside.operators.stops import spatial_clusters
 from kerbside.runtime import cut
 
-NEAR_CELL = 4e-3
-#: Degrees from which on nine cells cover the globe.
-WHOLE = 360.0
+#: Degrees of the smallest cells that are told apart in a search for the nearest, how much wider each level's are, and cells of the top.
+NEAR_CELL, WIDER, TOP_CELLS = 1e-3, 4, 16
 
 
 def _first(df: DataFrame, by: list[str], *order) -> DataFrame:
@@ -58,7 +57,7 @@ def _described(groups: DataFrame, by: list[str], addresses: DataFrame) -> DataFr
 
 
 def search(queries: DataFrame, addresses: DataFrame, limit: int = 8) -> DataFrame:
-    """queries: qid, q. Returns up to ``limit`` candidates a query with their rank.
+    """queries: qid, q. Returns up to ``limit`` candidates a query with their rank; an empty or blank query has none.
 
     Columns: qid, rank, label, lat, lon, street, number, door_count, match_type, score.
     """
@@ -101,37 +100,78 @@ def search(queries: DataFrame, addresses: DataFrame, limit: int = 8) -> DataFram
     return ranked.select("qid", "rank", "label", "lat", "lon", "street", "number", "door_count", "match_type", F.bround("own", 3).alias("score"))
 
 
-def _nearest(points: DataFrame, key: list[str], addresses: DataFrame, other: Column, out: list[str]) -> DataFrame:
-    """For each point its nearest address that satisfies ``other``: a search by growing cells.
+def _half_chord(dlat: Column, dlon: Column, lat: Column, other_lat: Column) -> Column:
+    """The square of half the chord between two places; grows with their distance."""
+    return F.pow(F.sin(F.radians(dlat) / 2), 2) + F.cos(F.radians(lat)) * F.cos(F.radians(other_lat)) * F.pow(F.sin(F.radians(dlon) / 2), 2)
 
-    Points that have an address within a cell's width are answered there; the few
-    others look through cells sixteen times as wide, and so on until the cells
-    cover the globe. No point meets an address outside its nine cells.
+
+def _bounds() -> tuple[Column, Column]:
+    """How near and how far a place inside the box s, n, w, e can be to the point, as of _half_chord."""
+    lat, lon, s, n, w, e = (F.col(c) for c in ("p_lat", "p_lon", "s", "n", "w", "e"))
+    zero = F.lit(0.0)
+    widest = F.when((s <= 0) & (n >= 0), zero).otherwise(F.least(F.abs(s), F.abs(n)))
+    near = _half_chord(F.greatest(zero, s - lat, lat - n), F.greatest(zero, w - lon, lon - e), lat, F.greatest(F.abs(s), F.abs(n)))
+    far = _half_chord(F.greatest(F.abs(s - lat), F.abs(n - lat)), F.least(F.greatest(F.abs(w - lon), F.abs(e - lon)), F.lit(180.0)), lat, widest)
+    return near, far
+
+
+def _pyramid(addresses: DataFrame, apart: str | None) -> list[DataFrame]:
+    """Occupied cells by level, each ``WIDER`` times as wide as those below: cy, cx, the box of the addresses inside, their first and last value of ``apart``."""
+    values = [F.lit(None).cast("string").alias(c) for c in ("low", "high")] if apart is None else [f(apart).alias(c) for c, f in (("low", F.min), ("high", F.max))]
+    cells = addresses.groupBy(geo.cell(F.col("lat"), NEAR_CELL).alias("cy"), geo.cell(F.col("lon"), NEAR_CELL).alias("cx")).agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"), *(values if apart else []))
+    levels = [cut(cells if apart else cells.select("*", *values))]
+    while levels[-1].count() > TOP_CELLS:
+        up = [F.floor(F.col(c) / WIDER).alias(c) for c in ("cy", "cx")]
+        levels.append(cut(levels[-1].groupBy(*up).agg(*[f(c).alias(c) for c, f in (("s", F.min), ("n", F.max), ("w", F.min), ("e", F.max), ("low", F.min), ("high", F.max))])))
+    return levels
+
+
+def _cells_in_reach(points: DataFrame, key: list[str], addresses: DataFrame, apart: str | None = None) -> DataFrame | None:
+    """The smallest cells (cy, cx) in which each point's nearest address can lie: down a pyramid of occupied cells.
+
+    On every level a point goes on to the cells that may hold its nearest address:
+    those no farther than the farthest place of the best one. None without addresses.
     """
-    found, left, size = None, cut(points), NEAR_CELL
-    while True:
-        around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-        dealt = left.withColumn("dy", around).withColumn("dx", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn("cy", geo.cell(F.col("p_lat"), size) + F.col("dy")).withColumn("cx", geo.cell(F.col("p_lon"), size) + F.col("dx")).drop("dy", "dx")
-        held = addresses.withColumn("ay", geo.cell(F.col("lat"), size)).withColumn("ax", geo.cell(F.col("lon"), size))
-        pairs = dealt.join(held, (F.col("cy") == F.col("ay")) & (F.col("cx") == F.col("ax")) & other)
-        distance = geo.haversine(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon"))
-        best = pairs.withColumn("distance_m", distance).groupBy(*key).agg(F.min(F.struct("distance_m", "ord", *[c for c in out if c != "ord"])).alias("b"))
-        # certain only within the narrower side of a cell
-        if size <= WHOLE:
-            sure = F.lit(size * geo.DEGREE_M * 0.97) * F.cos(F.radians(F.least(F.abs(F.col("b.lat")) + size, F.lit(89.9))))
-            best = best.where(F.col("b.distance_m") <= sure)
-        best = cut(best.select(*key, "b.distance_m", *[F.col(f"b.{c}") for c in out]))
-        found = best if found is None else found.unionByName(best)
-        left = cut(left.join(best.select(*key), key, "left_anti"))
-        if size > WHOLE or left.isEmpty():
-            return found
-        size *= 16
+    levels = _pyramid(addresses, apart)
+    columns = list(dict.fromkeys([*key, "p_lat", "p_lon", *([f"p_{apart}"] if apart else [])]))
+    near, far = _bounds()
+
+    def pruned(df: DataFrame) -> DataFrame:
+        if apart:
+            df = df.where(~(F.col("low").eqNullSafe(F.col(f"p_{apart}")) & F.col("high").eqNullSafe(F.col(f"p_{apart}"))))
+        best = F.min(far).over(Window.partitionBy(*key))
+        return df.withColumn("best", best).where(near <= F.col("best") * (1 + 1e-9) + 1e-18).select(*columns, "cy", "cx")
+
+    # the cells of the top are few, and stand in the plan
+    top = [F.struct(*[F.lit(r[c]).alias(c) for c in levels[-1].columns]) for r in levels[-1].collect()]
+    if not top:
+        return None
+    frontier = pruned(points.select(*columns, F.explode(F.array(*top)).alias("c")).select(*columns, "c.*"))
+    for level in levels[-2::-1]:
+        below = level.withColumnsRenamed({"cy": "y", "cx": "x"}).withColumns({"cy": F.floor(F.col("y") / WIDER), "cx": F.floor(F.col("x") / WIDER)})
+        found = frontier.join(below, ["cy", "cx"]).drop("cy", "cx").withColumnsRenamed({"y": "cy", "x": "cx"})
+        frontier = pruned(found)
+    return frontier
+
+
+def _nearest(points: DataFrame, key: list[str], addresses: DataFrame, out: list[str], apart: str | None = None) -> DataFrame:
+    """For each point (p_lat, p_lon) its nearest address, of another ``apart`` than p_apart if that is given. Only the addresses of the cells in reach meet it, wherever it lies."""
+    frontier = _cells_in_reach(points, key, addresses, apart)
+    if frontier is None:
+        return points.limit(0).select(*key, F.lit(0.0).alias("distance_m"), *[F.lit(None).cast(addresses.schema[c].dataType).alias(c) for c in out])
+    held = addresses.withColumns({"cy": geo.cell(F.col("lat"), NEAR_CELL), "cx": geo.cell(F.col("lon"), NEAR_CELL)})
+    pairs = frontier.join(held, ["cy", "cx"])
+    if apart:
+        pairs = pairs.where(F.col(apart) != F.col(f"p_{apart}"))
+    distance = geo.haversine(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon"))
+    best = pairs.withColumn("distance_m", distance).groupBy(*key).agg(F.min(F.struct("distance_m", "ord", *[c for c in out if c != "ord"])).alias("b"))
+    return best.select(*key, "b.distance_m", *[F.col(f"b.{c}") for c in out])
 
 
 def reverse(points: DataFrame, addresses: DataFrame) -> DataFrame:
     """points: pid, lat, lon. The nearest door of each: pid, label, lat, lon, distance_m; the first in order among equals."""
     own = points.select("pid", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-    found = _nearest(own, ["pid"], addresses.select("ord", "lat", "lon", "unit", "number", "street"), F.lit(True), ["ord", "lat", "lon", "unit", "number", "street"])
+    found = _nearest(own, ["pid"], addresses.select("ord", "lat", "lon", "unit", "number", "street"), ["ord", "lat", "lon", "unit", "number", "street"])
     return found.select("pid", text.address_label(F.col("unit"), F.col("number"), F.col("street")).alias("label"), "lat", "lon", "distance_m")
 
 
@@ -139,5 +179,5 @@ def nearest_other_street(points: DataFrame, addresses: DataFrame) -> DataFrame:
     """points: street, lat, lon. The street of the nearest address that is on another one."""
     own = points.select(F.col("street").alias("p_street"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
     key = ["p_street", "p_lat", "p_lon"]
-    found = _nearest(own, key, addresses.select("ord", "lat", "lon", "street"), F.col("street") != F.col("p_street"), ["ord", "lat", "lon", "street"])
+    found = _nearest(own, key, addresses.select("ord", "lat", "lon", "street"), ["ord", "lat", "lon", "street"], "street")
     return found.select(*[F.col(k).alias(k[2:]) for k in key], F.col("street").alias("other"))

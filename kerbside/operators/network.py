@@ -149,6 +149,12 @@ def spans(edges: DataFrame) -> DataFrame:
     return rows.withColumn("path", chained("lines")).drop("lines")
 
 
+def street_busyness(streets: DataFrame, spans: DataFrame) -> DataFrame:
+    """streets: street_norm. Adds busy and highway of the whole street: busy if any of its spans is, null (and no class) if it has none."""
+    own = spans.groupBy("street_norm").agg(F.bool_or("busy").alias("busy"), busiest().alias("highway"))
+    return streets.join(own, "street_norm", "left").withColumn("highway", F.coalesce("highway", F.lit("")))
+
+
 def chained(lines: str) -> Column:
     """Lines of points stitched end to end."""
 

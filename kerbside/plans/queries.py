@@ -308,10 +308,10 @@ def _points(spark, sf_dir):
     return spark.sql(_POINTS.replace("FROM supplier", "FROM {supplier}"), supplier=table(spark, sf_dir, "supplier"))
 
 
-@query(f"""WITH {_DOORS}, p AS ({_POINTS}), d AS (SELECT p.pid, d.osm_id, round({_dist("p.lat", "p.lon", "d.lat", "d.lon")}, 3) AS m FROM p CROSS JOIN doors d)
-SELECT pid, min(m) AS distance_m FROM d GROUP BY pid""")
+@query(f"""WITH {_DOORS}, p AS ({_POINTS}), d AS (SELECT p.pid, d.ord, concat(coalesce(unit || '/', ''), number, ' ', street) AS label, {_dist("p.lat", "p.lon", "d.lat", "d.lon")} AS m FROM p CROSS JOIN doors d)
+SELECT pid, arg_min(label, {{'m': m, 'ord': ord}}) AS label, round(min(m), 3) AS distance_m FROM d GROUP BY pid""")
 def reverse_geocode(spark, sf_dir):
-    return geocode.reverse(_points(spark, sf_dir), derived.doors(spark, sf_dir)).select("pid", F.round("distance_m", 3).alias("distance_m"))
+    return geocode.reverse(_points(spark, sf_dir), derived.doors(spark, sf_dir)).select("pid", "label", F.round("distance_m", 3).alias("distance_m"))
 
 
 @query(f"""WITH {_DOORS}, a AS (SELECT * FROM doors)
@@ -589,6 +589,21 @@ def zone_split_streets(spark, sf_dir):
     return zones.split_streets(own.zones(100), own.faces)
 
 
+@query(f"""WITH d AS ({town.DOORS_SQL}), c AS (SELECT street, 1 + ord % 5 AS residents, row_number() OVER (PARTITION BY street ORDER BY 1 + ord % 5) AS k, count(*) OVER (PARTITION BY street) AS n FROM d)
+SELECT street, min(residents) AS least, CAST(max(residents) FILTER (WHERE k = n // 2 + 1) AS DOUBLE) AS upper_median, max(residents) AS most FROM c GROUP BY street""")
+def street_sizes(spark, sf_dir):
+    rows = town.doors(spark, sf_dir).select("street", (1 + F.col("ord") % 5).alias("residents"))
+    return reports.sizes(rows, "residents", ["street"]).withColumn("upper_median", F.col("upper_median").cast("double"))
+
+
+@query(f"""WITH {_DOORS}, {_SEGS}, s AS (SELECT DISTINCT street FROM doors)
+SELECT lower(street) AS street_norm, bool_or(highway = 'primary') AS busy, coalesce(CASE WHEN bool_or(highway = 'primary') THEN 'primary' ELSE max(highway) END, '') AS highway FROM s LEFT JOIN segs ON segs.name = street GROUP BY street""")
+def street_busyness(spark, sf_dir):
+    """Every street that has a door: busy, not busy, or unknown where it has no geometry."""
+    streets = geocode.indexed(derived.doors(spark, sf_dir)).select("street_norm").distinct()
+    return network.street_busyness(streets, network.spans(network.span_edges(derived.ways(spark, sf_dir))))
+
+
 def _scenarios(spark):
     return hub_table(spark).withColumnRenamed("hub_id", "scenario_id").withColumn("teams", F.col("scenario_id") + 2)
 

@@ -123,6 +123,12 @@ def in_box(df: DataFrame, box: tuple[float, float, float, float] | str | None) -
     return df.where(F.col("lat").between(south, north) & F.col("lon").between(west, east))
 
 
+def sizes(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
+    """Least, upper median (of an even number of values the larger middle one) and most of a column, per group if asked for."""
+    middle = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}` DESC)")
+    return df.groupBy(*by).agg(F.min(value).alias("least"), middle.alias("upper_median"), F.max(value).alias("most"))
+
+
 def parse_box(box: str) -> tuple[float, float, float, float]:
     try:
         south, west, north, east = map(float, box.split(","))
