@@ -37,3 +37,12 @@ def test_embedding_dedup_equals_its_sql(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = _same(spark, "op1_embedding_dedup", str(tmp_path), "embeddings")
     assert len(got) == 406 and sum(r[1] for r in got) > 500 and 20 < sum(r[3] for r in got) < 380
+
+
+def test_prefix_trie_equals_its_sql(spark, tmp_path):
+    assert len(_same(spark, "op11_prefix_trie", "/root/testdata/sf0.01", "conversations")) == 391
+    rng = random.Random(11)
+    rows = [(c, None if t == 0 and c % 4 == 0 else t, rng.choice(["user", None]), rng.choice(["a b", "a b", "", None, "é  c\t"])) for c in rng.sample(range(90), 50) for t in range(rng.randint(1, 7))]
+    rows.append((None, 1, "user", "of no conversation"))
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert len(_same(spark, "op11_prefix_trie", str(tmp_path), "conversations")) > 40
