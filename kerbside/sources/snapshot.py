@@ -1,7 +1,10 @@
-"""District snapshots: one JSON document (gzip or plain) in, tables out, and back; and parsers of map extracts."""
+"""District snapshots, as one JSON document (gzip or plain) or as Parquet tables with a manifest; and parsers of map extracts."""
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
 from dataclasses import dataclass
 
 import pandas as pd
@@ -56,8 +59,64 @@ def stamp(spark: SparkSession, path: str) -> tuple | None:
     return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in (fs.listStatus(at) if fs.isDirectory(at) else [fs.getFileStatus(at)])))
 
 
+def _files(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and a maker of its paths."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def manifests(spark: SparkSession, folder: str) -> list[tuple[int, dict]]:
+    """Numbers and contents of the whole manifests of a folder, the latest first. One that was cut short does not count."""
+    fs, make = _files(spark, folder)
+    if not fs.exists(make(folder)):
+        return []
+    found = []
+    for f in fs.listStatus(make(folder)):
+        if m := re.fullmatch(r"manifest-(\d+)\.json", f.getPath().getName()):
+            text = spark.read.text(f.getPath().toString(), wholetext=True).first()
+            try:
+                found.append((int(m[1]), json.loads(text["value"]) if text else None))
+            except ValueError:
+                continue
+    return sorted(((n, told) for n, told in found if told and told.get("format") == FORMAT and "version" in told), key=lambda x: -x[0])
+
+
+def save_tables(s: Snapshot, folder: str, keep: int = 2) -> int:
+    """Write the tables as Parquet, each from its own tasks, and then a manifest that names them; returns its number.
+
+    Readers see the tables of the latest whole manifest, so a save that breaks
+    off changes nothing for them. Addresses and ways lie in the order of their
+    places, so that a box reads few of the files. Older versions but the last
+    ``keep`` are deleted.
+    """
+    spark = s.address.sparkSession
+    before = manifests(spark, folder)
+    version = f"version-{uuid.uuid4().hex}"
+    first = F.get("geometry", F.lit(0))
+    rows = {
+        "meta": s.meta,
+        "ring": s.rings,
+        "address": s.address.repartitionByRange(F.floor(F.col("lat") * 20), F.floor(F.col("lon") * 20)).sortWithinPartitions("lat", "lon"),
+        "way": s.way.repartitionByRange(F.floor(first["lat"] * 20), F.floor(first["lon"] * 20)),
+    }
+    for name, df in rows.items():
+        df.write.parquet(f"{folder}/{version}/{name}")
+    fs, make = _files(spark, folder)
+    taken = [int(m[1]) for f in fs.listStatus(make(folder)) if (m := re.fullmatch(r"manifest-(\d+)\.json", f.getPath().getName()))]
+    number = max(taken, default=0) + 1  # those that were cut short count too
+    out = fs.create(make(f"{folder}/manifest-{number}.json"), False)  # fails if another save has taken the number
+    out.write(bytearray(json.dumps({"format": FORMAT, "version": version}).encode()))
+    out.close()
+    for n, told in before[keep - 1 :]:
+        fs.delete(make(f"{folder}/manifest-{n}.json"), False)
+        fs.delete(make(f"{folder}/{told['version']}"), True)
+    return number
+
+
 def load(spark: SparkSession, path: str) -> Snapshot:
-    """Read a snapshot document. A document of another format fails when it is read."""
+    """Read a snapshot: the tables of a folder's latest manifest, or else a document. A document of another format fails when it is read."""
+    if found := manifests(spark, path):
+        return Snapshot(*[spark.read.parquet(f"{path}/{found[0][1]['version']}/{name}") for name in ("meta", "ring", "address", "way")])
     doc = spark.read.schema(DOCUMENT).option("multiLine", True).json(path)
     gate = F.assert_true(F.coalesce(F.col("format") == FORMAT, F.lit(False)), F.lit("unsupported snapshot format"))
     doc = doc.where(gate.isNull())
