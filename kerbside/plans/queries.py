@@ -17,7 +17,7 @@ from kerbside.plans import reports
 from kerbside.plans.district import District
 from kerbside.runtime import prepare, table
 from kerbside.sources import district as derived
-from kerbside.sources import geojson, town
+from kerbside.sources import geojson, snapshot, town
 
 HUBS = ((1, -3.782e1, 1.4501e2, 800.0), (2, -3.783e1, 1.4502e2, 400.0), (3, -3.7752e1, 1.4501e2, 1200.0))
 BOX = (-3.783e1, 1.45005e2, -3.781e1, 1.4502e2)
@@ -102,12 +102,12 @@ _STOPS = """stops AS (
   FROM doors GROUP BY street, number, lat > -3.778e1)"""
 
 
-_DISTRICTS: dict[tuple[str, str], District] = {}
+_DISTRICTS: dict[tuple, District] = {}
 
 
 def _own(spark: SparkSession, sf_dir: str) -> District:
-    """One district per application and folder, so that its tables are built once for all questions."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """One district per application and state of its tables, so that it is built once for all questions."""
+    key = (spark.sparkContext.applicationId, sf_dir, *[snapshot.stamp(spark, f"{sf_dir}/{t}.parquet") for t in ("customer", "nation")])
     if key not in _DISTRICTS:
         _DISTRICTS[key] = District.from_tables(spark, sf_dir)
     return _DISTRICTS[key]
@@ -349,7 +349,7 @@ def hub_preview_walk(spark, sf_dir):
     return _own(spark, sf_dir).hub_preview(hub_table(spark)).select("hub_id", "inside_district", "nearest_address", "walk.*")
 
 
-@query(f"""WITH RECURSIVE {_SEGS}, {_DOORS}, {_HUBS}, {_EDGES},
+_REACH = f"""WITH RECURSIVE {_SEGS}, {_DOORS}, {_HUBS}, {_EDGES},
 door AS MATERIALIZED (SELECT osm_id, {_NEAREST} AS s FROM doors p JOIN e ON {_BESIDE} GROUP BY osm_id),
 hub AS MATERIALIZED (SELECT hub_id, radius_m, {_NEAREST} AS s FROM hubs p JOIN e ON {_BESIDE} GROUP BY hub_id, radius_m),
 go(hub_id, node, d) USING KEY (hub_id, node) AS (
@@ -359,8 +359,11 @@ go(hub_id, node, d) USING KEY (hub_id, node) AS (
     LEFT JOIN recurring.go o ON o.hub_id = n.hub_id AND o.node = n.node WHERE n.d <= h.radius_m AND (o.d IS NULL OR n.d < o.d)),
 way AS (
   SELECT hub_id, osm_id, d + door.s.to_a + door.s.m AS m FROM go JOIN door ON {_num('door.s.a')} = node UNION ALL SELECT hub_id, osm_id, d + door.s.to_b + door.s.m FROM go JOIN door ON {_num('door.s.b')} = node
-  UNION ALL SELECT hub_id, osm_id, abs(door.s.to_a - hub.s.to_a) + door.s.m FROM hub JOIN door ON door.s.a = hub.s.a AND door.s.b = hub.s.b)
-SELECT hub_id, osm_id, round(min(way.m) + any_value(hub.s.m), 3) AS walk_m FROM way JOIN hub USING (hub_id) WHERE hub.s.m <= 300 GROUP BY hub_id, osm_id, radius_m HAVING min(way.m) + any_value(hub.s.m) <= radius_m""")
+  UNION ALL SELECT hub_id, osm_id, abs(door.s.to_a - hub.s.to_a) + door.s.m FROM hub JOIN door ON door.s.a = hub.s.a AND door.s.b = hub.s.b),
+reach AS (SELECT hub_id, osm_id, min(way.m) + any_value(hub.s.m) AS walk_m FROM way JOIN hub USING (hub_id) WHERE hub.s.m <= 300 GROUP BY hub_id, osm_id, radius_m HAVING min(way.m) + any_value(hub.s.m) <= radius_m)"""
+
+
+@query(f"{_REACH} SELECT hub_id, osm_id, round(walk_m, 3) AS walk_m FROM reach")
 def walk_reach(spark, sf_dir):
     from kerbside.operators import routing
 
@@ -369,6 +372,18 @@ def walk_reach(spark, sf_dir):
     return found.select("hub_id", "osm_id", F.round("walk_m", 3).alias("walk_m"))
 
 
+@query(f"""{_REACH}, {_STOPS},
+d AS (SELECT hub_id, count(*) AS doors_within, count(DISTINCT street) AS streets_within, max(walk_m) AS far FROM reach JOIN doors USING (osm_id) GROUP BY hub_id),
+s AS (SELECT hub_id, count(*) AS stops_within, sum(30e0 + 75e0 * least(door_count, 8)) AS secs FROM (
+  SELECT DISTINCT hub_id, stop_id, door_count FROM reach JOIN doors d USING (osm_id) JOIN stops ON stops.street = d.street AND stops.number = d.number AND stops.far = (d.lat > -3.778e1)) GROUP BY hub_id)
+SELECT h.hub_id, coalesce(doors_within, 0) AS doors_within, coalesce(stops_within, 0) AS stops_within, coalesce(streets_within, 0) AS streets_within,
+  round_even(coalesce(secs, 0e0) / 3600, 1) AS knock_hours, round_even(coalesce(far, 0e0) / 80, 1) AS minutes_to_farthest FROM hubs h LEFT JOIN d USING (hub_id) LEFT JOIN s USING (hub_id)""")
+def walk_preview(spark, sf_dir):
+    """What each hub reaches on foot."""
+    found = _own(spark, sf_dir).hub_preview(hub_table(spark)).select("hub_id", "walk.*")
+    return found.select("hub_id", "doors_within", "stops_within", "streets_within", "knock_hours", "minutes_to_farthest")
+
+
 @query()
 def walk_route(spark, sf_dir):
     r = [(1, -37.8402, 145.0004, -37.8102, 145.0301), (2, -37.82, 145.01, -37.82, 145.0105), (3, -37.82, 145.01, -37.752, 145.01), (4, -37.8361, 145.0352, -37.8102, 145.0007)]
@@ -529,6 +544,19 @@ def blockface_table(spark, sf_dir):
     return blockfaces.payload(_own(spark, sf_dir).faces)
 
 
+#: On the rows of the lattice a face is a block, or one side of it where the row is busy: three stops to a block.
+@query(f"""WITH {_DOORS}, {_STOPS}, {_SEGS},
+b AS (SELECT *, lower(name) || '@' || format('{{:.5f}},{{:.5f}}', {_N.format("a_lat")} / 1e7, least({_N.format("a_lon")}, {_N.format("b_lon")}) / 1e7) AS span_id FROM segs WHERE name LIKE 'Row %'),
+m AS (SELECT b.span_id, b.highway, {_dist("b.a_lat", "b.a_lon", "b.b_lat", "b.b_lon")} AS length, CAST(s.number AS BIGINT) AS n, s.door_count,
+  CASE WHEN b.highway <> 'primary' THEN 'both' WHEN CAST(s.number AS BIGINT) % 2 = 0 THEN 'even' ELSE 'odd' END AS side
+  FROM stops s JOIN b ON b.name = s.street AND s.lon > b.a_lon AND s.lon < b.b_lon)
+SELECT span_id || '#' || side AS blockface_id, side, side <> 'both' AS one_side_per_pass, highway, CAST(min(n) AS VARCHAR) AS from_number, CAST(max(n) AS VARCHAR) AS to_number, CAST(count(*) AS INTEGER) AS stop_count, CAST(sum(door_count) AS INTEGER) AS door_count,
+  round(length, 2) AS length_m, round(sum(30e0 + 75e0 * least(door_count, 8)) / 60 + length / 80, 3) AS minutes FROM m GROUP BY span_id, side, highway, length""")
+def lattice_faces(spark, sf_dir):
+    f = _own(spark, sf_dir).faces.where("street LIKE 'Row %'")
+    return f.select("blockface_id", "side", "one_side_per_pass", "highway", "from_number", "to_number", F.col("stop_count").cast("int").alias("stop_count"), F.col("door_count").cast("int").alias("door_count"), F.round("length_m", 2).alias("length_m"), F.round("minutes", 3).alias("minutes"))
+
+
 @query(f"WITH {_DOORS}, {_STOPS} SELECT stop_id, CAST(1 AS BIGINT) AS faces, door_count AS doors FROM stops")
 def blockface_membership(spark, sf_dir):
     """Each stop in exactly one face, with all its doors."""

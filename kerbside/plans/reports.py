@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kerbside.functions import geo, text
 from kerbside.operators import blockfaces, geocode, routing
+from kerbside.runtime import cut
 
 RADIUS = (50.0, 3000.0)
 CELL = 1e-2
@@ -141,4 +142,5 @@ def page(df: DataFrame, order: list, limit: int, most: int) -> tuple[DataFrame,
     """The first rows in order, and whether there are more."""
     if not 1 <= limit <= most:
         raise ValueError(f"limit must be from 1 to {most}")
-    return df.orderBy(*order).limit(limit), df.limit(limit + 1).count() > limit
+    first = cut(df.orderBy(*order).limit(limit + 1))  # one run for the rows and the flag
+    return first.orderBy(*order).limit(limit), first.count() > limit
