@@ -20,6 +20,8 @@ from kerbside.runtime import cut
 
 SNAP_M = 300.0
 CELL = 4e-3
+#: Edges of which one task finds the connected components; more are spread over tasks in rounds.
+FEW_EDGES = 100_000
 #: Metres within which the small cells answer.
 NEAR_M, NEAR_CELL = 60.0, 8e-4
 #: More segments than any way has.
@@ -73,7 +75,7 @@ def walk_edges(ways: DataFrame) -> DataFrame:
 
 def labels(edges: DataFrame) -> DataFrame:
     """node (as of node_number) and component of the walking graph, for every node: two nodes are connected if their components are equal."""
-    return components(edges.select(*[node_number(F.col(f"{e}_y"), F.col(f"{e}_x")).alias(e) for e in "ab"]))
+    return components(edges.select(*[node_number(F.col(f"{e}_y"), F.col(f"{e}_x")).alias(e) for e in "ab"]), local=FEW_EDGES)
 
 
 def graph_counts(edges: DataFrame) -> DataFrame:
@@ -119,7 +121,7 @@ def span_edges(ways: DataFrame) -> DataFrame:
         s = s.withColumn(f"{e}_run", F.when(F.col(f"{e}_break").isNull(), F.col(e)))
     place = (F.col("ord") * WAY_SEGMENTS + F.col("seg")).alias("edge_ord")
     s = cut(s.select("street_norm", place, "osm_id", "highway", "busy", "a_y", "a_x", "b_y", "b_x", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), "a_run", "b_run"))
-    roots = components(s.where("a_run is not null and b_run is not null").select("a_run", "b_run"))
+    roots = components(s.where("a_run is not null and b_run is not null").select("a_run", "b_run"), local=FEW_EDGES)
     # a segment belongs to the run of an unbroken end, or stands alone
     s = s.withColumn("end", F.coalesce("a_run", "b_run")).join(roots.toDF("end", "root"), "end", "left")
     s = s.withColumn("run", F.struct(F.coalesce("root", "end").alias("node"), F.when(F.col("end").isNull(), F.col("edge_ord")).alias("edge"))).drop("end", "root", "a_run", "b_run")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbside.operators import kernels, network
+from kerbside.operators.components import components
 
 SCHEMA = "ord long, osm_id long, geometry array<struct<lat:double,lon:double>>, tags map<string,string>"
 
@@ -51,15 +52,38 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_spans_by_hand(spark, seed):
+@pytest.mark.parametrize(("seed", "few"), [(1, 0), (2, 100_000), (3, 100_000)])
+def test_spans_by_hand(spark, monkeypatch, seed, few):
+    monkeypatch.setattr(network, "FEW_EDGES", few)
     rows = town(seed)
     found = network.spans(network.span_edges(spark.createDataFrame(rows, SCHEMA).repartition(3))).collect()
     assert {r["span_id"]: (r["edge_count"], r["way_ids"]) for r in found} == brute(rows)
 
 
-def test_one_long_street(spark):
+@pytest.mark.parametrize("local", [0, 10_000])
+def test_components_by_hand(spark, local):
+    rng = random.Random(local)
+    pairs = [(rng.randrange(90), rng.randrange(90)) for _ in range(60)] + [(200 + k, 201 + k) for k in range(40)] + [(5, None)]
+    sets = kernels.Sets()
+    for a, b in pairs:
+        if b is not None and a != b:
+            sets.join(a, b)
+    groups = defaultdict(list)
+    for n in list(sets.up):
+        groups[sets.root(n)].append(n)
+    want = {n: min(g) for g in groups.values() for n in g}
+    for kind in ("long", "string"):
+        df = spark.createDataFrame(pairs, "a long, b long").select(F.col("a").cast(kind), F.col("b").cast(kind))
+        found = {int(r["node"]): int(r["component"]) for r in components(df, local=local).collect()}
+        if kind == "string":
+            want = {n: int(min(str(m) for m in g)) for g in groups.values() for n in g}
+        assert found == want
+    assert components(df.limit(0), local=local).count() == 0
+
+
+def test_one_long_street(spark, monkeypatch):
     """A street of 3,000 segments without an intersection is one span; its segments never meet in one group before."""
+    monkeypatch.setattr(network, "FEW_EDGES", 0)
     line = [(10 + k * 1e-4, 20.0) for k in range(3001)]
     rows = [(k, k, line[100 * k : 100 * k + 101], {"name": "Long Road", "highway": "residential"}) for k in range(30)]
     edges = network.span_edges(spark.createDataFrame(rows, SCHEMA))
