@@ -384,14 +384,8 @@ def walk_preview(spark, sf_dir):
     return found.select("hub_id", "doors_within", "stops_within", "streets_within", "knock_hours", "minutes_to_farthest")
 
 
-@query()
-def walk_route(spark, sf_dir):
-    r = [(1, -37.8402, 145.0004, -37.8102, 145.0301), (2, -37.82, 145.01, -37.82, 145.0105), (3, -37.82, 145.01, -37.752, 145.01), (4, -37.8361, 145.0352, -37.8102, 145.0007)]
-    return _own(spark, sf_dir).routes(spark.createDataFrame(r, "route_id int, from_lat double, from_lon double, to_lat double, to_lon double"))
-
-
-#: Every 50th door of the growing town to one far away from it.
-_TRIPS = f"SELECT f.ord AS route_id, f.lat AS from_lat, f.lon AS from_lon, t.lat AS to_lat, t.lon AS to_lon FROM ({town.DOORS_SQL}) f JOIN ({town.DOORS_SQL}) t ON t.ord = CASE WHEN f.ord > 333 THEN f.ord - 333 ELSE f.ord + 17 END WHERE f.ord % 50 = 0"
+#: Every 50th door to one far away from it.
+_TRIPS = "SELECT f.ord AS route_id, f.lat AS from_lat, f.lon AS from_lon, t.lat AS to_lat, t.lon AS to_lon FROM ({0}) f JOIN ({0}) t ON t.ord = CASE WHEN f.ord > 333 THEN f.ord - 333 ELSE f.ord + 17 END WHERE f.ord % 50 = 0"
 
 
 _WALK = f"""{_EDGES},
@@ -405,15 +399,24 @@ go(route_id, node, d) USING KEY (route_id, node) AS (
     LEFT JOIN recurring.go o ON o.route_id = n.route_id AND o.node = n.node WHERE o.d IS NULL OR n.d < o.d)"""
 
 
-@query(f"""WITH RECURSIVE {_TOWN}, trip AS ({_TRIPS}), {_WALK},
-found AS (SELECT route_id, f.m + t.m + least(coalesce(min(d + CASE WHEN g.node = {_num('t.a')} THEN t.to_a ELSE t.to_b END), 'infinity'::DOUBLE), CASE WHEN f.a = t.a AND f.b = t.b THEN abs(f.to_a - t.to_a) ELSE 'infinity'::DOUBLE END) AS m
+_ROUTED = f"""found AS (SELECT route_id, f.m + t.m + least(coalesce(min(d + CASE WHEN g.node = {_num('t.a')} THEN t.to_a ELSE t.to_b END), 'infinity'::DOUBLE), CASE WHEN f.a = t.a AND f.b = t.b THEN abs(f.to_a - t.to_a) ELSE 'infinity'::DOUBLE END) AS m
   FROM snap LEFT JOIN go g USING (route_id) WHERE g.node = {_num('t.a')} OR g.node = {_num('t.b')} OR (f.a = t.a AND f.b = t.b) GROUP BY route_id, f, t)
-SELECT route_id, round(m, 2) AS distance_m FROM found WHERE m < 'infinity'::DOUBLE""")
+SELECT route_id, round_even(m, 1) AS distance_m FROM found WHERE m < 'infinity'::DOUBLE"""
+
+
+@query(f"WITH RECURSIVE {_TOWN}, trip AS ({_TRIPS.format(town.DOORS_SQL)}), {_WALK}, {_ROUTED}")
 def town_routes(spark, sf_dir):
     from kerbside.operators import routing
 
-    trips = town.over(spark, sf_dir, _TRIPS)
-    return routing.routes(trips, network.walk_edges(town.ways(spark, sf_dir))).select("route_id", F.round("distance_m", 2).alias("distance_m"))
+    trips = town.over(spark, sf_dir, _TRIPS.format(town.DOORS_SQL))
+    return routing.routes(trips, network.walk_edges(town.ways(spark, sf_dir))).select("route_id", F.bround("distance_m", 1).alias("distance_m"))
+
+
+@query(f"WITH RECURSIVE {_SEGS}, trip AS ({_TRIPS.format(derived.DOORS_SQL)}), {_WALK}, {_ROUTED}")
+def walk_route(spark, sf_dir):
+    """Some of the doors are on a road without geometry, and are met from the nearest other one."""
+    trips = town.over(spark, sf_dir, _TRIPS.format(derived.DOORS_SQL))
+    return _own(spark, sf_dir).routes(trips).select("route_id", "distance_m")
 
 
 # boundary
