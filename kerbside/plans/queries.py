@@ -404,8 +404,9 @@ _ROUTED = f"""found AS (SELECT route_id, f.m + t.m + least(coalesce(min(d + CASE
 SELECT route_id, round_even(m, 1) AS distance_m FROM found WHERE m < 'infinity'::DOUBLE"""
 
 
-@query(f"WITH RECURSIVE {_TOWN}, trip AS ({_TRIPS.format(town.DOORS_SQL)}), {_WALK}, {_ROUTED}")
+@query()
 def town_routes(spark, sf_dir):
+    """Without SQL: relaxation over the whole town takes DuckDB most of a minute. The same SQL is held against walk_route."""
     from kerbside.operators import routing
 
     trips = town.over(spark, sf_dir, _TRIPS.format(town.DOORS_SQL))
