@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kerbside.functions import geo, text
 from kerbside.operators import kernels
@@ -14,12 +15,13 @@ CLUSTER_M = 200.0
 GATED_DOORS = 8
 
 
-def spatial_clusters(points: DataFrame, keys: list[str], order: list[str], metres: float = CLUSTER_M) -> DataFrame:
+def spatial_clusters(points: DataFrame, keys: list[str], order: list[str], metres: float = CLUSTER_M, weight: str | None = None) -> DataFrame:
     """Adds ``cluster``: single-link clusters of each key's points, 0 being the largest.
 
     Keys whose points lie within the threshold anyway, nearly all, are settled by
-    their bounding box; only the others go to the kernel, one key at a time.
-    Points are taken in the given order, which decides ties.
+    their bounding box; only the places of the others go to the kernel, one key at
+    a time, each once with its number of points. Points are taken in the given
+    order, which decides ties; a row may stand for several points (``weight``).
     """
     box = points.groupBy(*keys).agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"))
     equator = F.when((F.col("s") <= 0) & (F.col("n") >= 0), F.lit(0.0)).otherwise(F.least(F.abs("s"), F.abs("n")))
@@ -27,12 +29,19 @@ def spatial_clusters(points: DataFrame, keys: list[str], order: list[str], metre
     wide = box.where(diagonal > metres * 0.99).select(*keys)
     near = points.join(wide, keys, "left_anti").withColumn("cluster", F.lit(0))
 
+    # points at one place are in one cluster; it stands where the last of them does
+    last = F.max(F.struct(*[x for c in order for x in (F.col(c).isNull().alias(f"{c}_none"), F.col(c).alias(c))])).alias("last")
+    places = points.join(wide, keys, "left_semi").groupBy(*keys, "lat", "lon").agg((F.sum(weight) if weight else F.count("*")).alias("points"), last)
+    places = places.select(*keys, "lat", "lon", "points", *[F.col(f"last.{c}").alias(f"last_{i}") for i, c in enumerate(order)])
+
     def label(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        return group.assign(cluster=kernels.cluster(group["lat"].to_numpy(), group["lon"].to_numpy(), metres).astype(np.int32))
+        group = group.sort_values([f"last_{i}" for i in range(len(order))], kind="stable")
+        return group[[*keys, "lat", "lon"]].assign(cluster=kernels.cluster(group["lat"].to_numpy(), group["lon"].to_numpy(), metres, group["points"].to_numpy()).astype(np.int32))
 
-    schema = near.schema.add("cluster", "int") if "cluster" not in near.columns else near.schema
-    far = points.join(wide, keys, "left_semi").groupBy(*keys).applyInPandas(label, schema)
+    schema = T.StructType([places.schema[c] for c in (*keys, "lat", "lon")]).add("cluster", T.IntegerType())
+    labelled = places.groupBy(*keys).applyInPandas(label, schema).withColumnsRenamed({c: f"_{c}" for c in (*keys, "lat", "lon")})
+    same = [F.col(c) == F.col(f"_{c}") for c in keys] + [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("lat", "lon")]
+    far = points.join(labelled, same).select(*points.columns, "cluster")
     return near.unionByName(far)
 
 
