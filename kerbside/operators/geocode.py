@@ -155,17 +155,25 @@ def _cells_in_reach(points: DataFrame, key: list[str], addresses: DataFrame, apa
 
 
 def _nearest(points: DataFrame, key: list[str], addresses: DataFrame, out: list[str], apart: str | None = None) -> DataFrame:
-    """For each point (p_lat, p_lon) its nearest address, of another ``apart`` than p_apart if that is given. Only the addresses of the cells in reach meet it, wherever it lies."""
-    frontier = _cells_in_reach(points, key, addresses, apart)
+    """For each point (p_lat, p_lon) its nearest address, of another ``apart`` than p_apart if that is given. Only the places of the cells in reach meet it, wherever it lies.
+
+    Addresses at one place (and of one ``apart``) are one, the first in order; so are points.
+    """
+    at = ["p_lat", "p_lon", *([f"p_{apart}"] if apart else [])]
+    first = F.min(F.struct("ord", *[c for c in out if c not in ("ord", "lat", "lon", apart)])).alias("first")
+    places = addresses.groupBy("lat", "lon", *([apart] if apart else [])).agg(first)
+    places = cut(places.select("lat", "lon", *([apart] if apart else []), "first.*"))
+    asked = points.select(*at).distinct()
+    frontier = _cells_in_reach(asked, at, places, apart)
     if frontier is None:
         return points.limit(0).select(*key, F.lit(0.0).alias("distance_m"), *[F.lit(None).cast(addresses.schema[c].dataType).alias(c) for c in out])
-    held = addresses.withColumns({"cy": geo.cell(F.col("lat"), NEAR_CELL), "cx": geo.cell(F.col("lon"), NEAR_CELL)})
+    held = places.withColumns({"cy": geo.cell(F.col("lat"), NEAR_CELL), "cx": geo.cell(F.col("lon"), NEAR_CELL)})
     pairs = frontier.join(held, ["cy", "cx"])
     if apart:
         pairs = pairs.where(F.col(apart) != F.col(f"p_{apart}"))
     distance = geo.haversine(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon"))
-    best = pairs.withColumn("distance_m", distance).groupBy(*key).agg(F.min(F.struct("distance_m", "ord", *[c for c in out if c != "ord"])).alias("b"))
-    return best.select(*key, "b.distance_m", *[F.col(f"b.{c}") for c in out])
+    best = pairs.withColumn("distance_m", distance).groupBy(*at).agg(F.min(F.struct("distance_m", "ord", *[c for c in out if c != "ord"])).alias("b"))
+    return points.select(*dict.fromkeys([*key, *at])).join(best, at).select(*key, "b.distance_m", *[F.col(f"b.{c}") for c in out])
 
 
 def reverse(points: DataFrame, addresses: DataFrame) -> DataFrame:
