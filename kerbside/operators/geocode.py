@@ -44,12 +44,16 @@ def indexed(addresses: DataFrame) -> DataFrame:
 
 
 def _described(groups: DataFrame, by: list[str], addresses: DataFrame) -> DataFrame:
-    """One candidate per cluster: position, first door (the last in order), doors, and what tells it from its namesakes."""
-    c = groups.groupBy(*by, "cluster").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.max_by(F.struct("street", "number", F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon")), "ord").alias("f"), F.count("*").cast("int").alias("door_count"), F.array_sort(F.collect_set(F.nullif("postcode", F.lit("")))).alias("codes"))
+    """One candidate per cluster: position, first door (the last in order), doors, and what tells it from its namesakes.
+
+    groups: places with the number of their ``doors`` and the last ``ord`` of them.
+    """
+    mean = [(F.sum(F.col(c) * F.col("doors")) / F.sum("doors")).alias(c) for c in ("lat", "lon")]
+    c = groups.groupBy(*by, "cluster").agg(*mean, F.max_by(F.struct("street", "number", F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon")), "ord").alias("f"), F.sum("doors").cast("int").alias("door_count"), F.array_sort(F.collect_set(F.nullif("postcode", F.lit("")))).alias("codes"))
     c = c.withColumn("clusters", F.count("*").over(Window.partitionBy(*by)))
     c = cut(c)
     unclear = c.where((F.col("clusters") > 1) & (F.size("codes") != 1)).select(F.col("f.street").alias("street"), F.col("f.f_lat").alias("lat"), F.col("f.f_lon").alias("lon")).distinct()
-    other = nearest_other_street(unclear, addresses).toDF("o_street", "o_lat", "o_lon", "other")
+    other = nearest_other_street(unclear, addresses.withColumn("ord", F.col("first"))).toDF("o_street", "o_lat", "o_lon", "other")
     c = c.join(other, (F.col("f.street") == F.col("o_street")) & (F.col("f.f_lat") == F.col("o_lat")) & (F.col("f.f_lon") == F.col("o_lon")), "left")
     place = F.format_string("%.4f, %.4f", F.col("f.f_lat"), F.col("f.f_lon"))
     hint = F.when(F.size("codes") == 1, F.col("codes")[0]).when(F.col("other").isNotNull(), F.concat(F.lit("near "), "other")).otherwise(place)
@@ -63,40 +67,59 @@ def search(queries: DataFrame, addresses: DataFrame, limit: int = 8) -> DataFram
     """
     if not 1 <= limit <= 25:
         raise ValueError("limit must be from 1 to 25")
-    own = indexed(addresses)
-    parsed = queries.where(F.trim("q") != "").select("qid", text.parse_query(F.col("q")).alias("p")).select("qid", "p.number", "p.street")
+    # doors at one place and questions of one text are one; what they are normalised to is found once for each
+    place = addresses.groupBy("street", "number", "lat", "lon", "postcode").agg(F.count("*").alias("doors"), F.min("ord").alias("first"), F.max("ord").alias("ord"))
     # plans that are used more than once are cut, or they would multiply
-    found = cut(resolve_streets(cut(parsed), own).join(parsed.select("qid", "number"), "qid"))
-    door = ["ord", "lat", "lon", "street", "number", "postcode"]
+    own = cut(indexed(place).withColumn("num", text.normalise_number(F.col("number"))))
+    texts = queries.where(F.trim("q") != "").select("q").distinct()
+    texts = cut(texts.select("q", text.parse_query(F.col("q")).alias("p")).select("q", "p.number", "p.street"))
+    asked_once = cut(texts.select("number", "street").distinct().withColumn("ask", F.monotonically_increasing_id()))
+    found = cut(resolve_streets(asked_once.select(F.col("ask").alias("qid"), "street"), own).join(asked_once.select(F.col("ask").alias("qid"), "number"), "qid"))
+    door = ["ord", "lat", "lon", "street", "number", "postcode", "doors"]
 
     # by number: the first key of the query's number that the street has
-    keys = own.select("street_norm", F.explode(text.number_keys(F.col("number"))).alias("key"), *[F.col(c).alias(f"d_{c}") for c in door])
-    asked = found.where(F.col("number").isNotNull()).select("qid", "street_norm", "score", "match_type", "number", F.posexplode(text.number_keys(F.col("number"))).alias("place", "key"))
-    hits = asked.join(keys, ["street_norm", "key"])
-    first = hits.groupBy("qid", "street_norm").agg(F.min("place").alias("place"))
-    hits = hits.join(first, ["qid", "street_norm", "place"]).select("qid", "street_norm", "score", "match_type", F.lit(0).alias("near"), *[F.col(f"d_{c}").alias(c) for c in door])
+    keyed = own.select("street_norm", F.explode(text.number_keys(F.col("number"))).alias("part"), *door)
+    asked = found.where(F.col("number").isNotNull()).select("qid", "street_norm", "score", "match_type", "number", F.posexplode(text.number_keys(F.col("number"))).alias("place", "part"))
+    held = keyed.select("street_norm", "part").distinct()
+    hits = asked.join(held, ["street_norm", "part"]).groupBy("qid", "street_norm", "score", "match_type").agg(F.min_by("part", "place").alias("part"))
+    hits = cut(hits.select("qid", "street_norm", "score", "match_type", F.lit(0).alias("near"), F.lit("key").alias("kind"), "part"))
 
     # else the nearest numbers of the street
-    rest = found.where(F.col("number").isNotNull()).join(first, ["qid", "street_norm"], "left_anti").withColumn("goal", text.leading_int(F.trim("number")))
-    groups = own.withColumn("num", text.normalise_number(F.col("number"))).groupBy("street_norm", "num").agg(F.min_by(text.leading_int(F.col("number")), "ord").alias("value"), F.min("ord").alias("first"))
-    near = rest.join(groups.where("value is not null"), "street_norm").withColumn("away", F.abs(F.col("value") - F.col("goal")))
-    near = near.withColumn("near", F.row_number().over(Window.partitionBy("qid", "street_norm").orderBy("away", "first"))).where(F.col("near") <= max(1, min(limit, 3)))
-    near = near.select("qid", "street_norm", (F.col("score") * 0.7).alias("score"), F.lit("approximate").alias("match_type"), "near", "num")
-    near = near.join(own.withColumn("num", text.normalise_number(F.col("number"))).select("street_norm", "num", *door), ["street_norm", "num"]).drop("num")
-
-    by = ["qid", "street_norm", "score", "match_type", "near"]
-    numbered = _described(spatial_clusters(cut(hits.unionByName(near)), by, ["ord"]), by, own)
-    doors = F.when(F.col("door_count") > 1, F.concat(F.lit(" ("), F.col("door_count").cast("string"), F.lit(" doors)"))).otherwise("")
-    numbered = numbered.select("qid", "street_norm", "score", "near", "cluster", "match_type", F.concat("f.number", F.lit(" "), "f.street", doors, "hint").alias("label"), "lat", "lon", "f.street", "f.number", "door_count", (F.col("score") - 0.01 * F.col("cluster")).alias("own"))
+    rest = found.where(F.col("number").isNotNull()).join(hits, ["qid", "street_norm"], "left_anti").withColumn("goal", text.leading_int(F.trim("number")))
+    groups = own.groupBy("street_norm", F.col("num").alias("part")).agg(F.min_by(text.leading_int(F.col("number")), "first").alias("value"), F.min("first").alias("first"))
+    near = rest.select("street_norm", "goal").distinct().join(groups.where("value is not null"), "street_norm").withColumn("away", F.abs(F.col("value") - F.col("goal")))
+    order = Window.partitionBy("street_norm", "goal").orderBy("away", "first")
+    near = near.withColumn("near", F.row_number().over(order)).where(F.col("near") <= max(1, min(limit, 3))).select("street_norm", F.col("goal").alias("at"), "near", "part")
+    # a goal that is no number is as far from all of them
+    near = rest.join(near.withColumnRenamed("street_norm", "of"), (F.col("street_norm") == F.col("of")) & F.col("goal").eqNullSafe(F.col("at")))
+    near = cut(near.select("qid", "street_norm", (F.col("score") * 0.7).alias("score"), F.lit("approximate").alias("match_type"), "near", F.lit("number").alias("kind"), "part"))
 
     # no number: the street itself
-    whole = found.where(F.col("number").isNull()).select("qid", "street_norm", "score").join(own.select("street_norm", *door), "street_norm")
-    by = ["qid", "street_norm", "score"]
-    streets = _described(spatial_clusters(cut(whole), by, ["ord"]), by, own)
-    streets = streets.select("qid", "street_norm", "score", F.lit(0).alias("near"), "cluster", F.lit("street").alias("match_type"), F.concat("f.street", F.lit(" ("), F.col("door_count").cast("string"), F.lit(" doors)"), "hint").alias("label"), "lat", "lon", "f.street", F.lit(None).cast("string").alias("number"), "door_count", (F.col("score") * 0.9 - 0.01 * F.col("cluster")).alias("own"))
+    whole = found.where(F.col("number").isNull()).select("qid", "street_norm", "score", F.lit("street").alias("match_type"), F.lit(0).alias("near"), F.lit("street").alias("kind"), F.lit("").alias("part"))
+
+    # the doors of what is asked for are put together once, however many ask for it
+    by = ["kind", "street_norm", "part"]
+    wanted = [df.select("street_norm", "part").distinct() for df in (hits, near, whole)]
+    doors = [keyed, own.withColumn("part", F.col("num")), own.withColumn("part", F.lit(""))]
+    members = [d.join(w, ["street_norm", "part"]).select(F.lit(kind).alias("kind"), "street_norm", "part", *door) for kind, d, w in zip(("key", "number", "street"), doors, wanted, strict=True)]
+    members = cut(members[0].unionByName(members[1]).unionByName(members[2]))
+    places = _described(spatial_clusters(members, by, ["ord"], weight="doors"), by, own)
+    # of one group only the first clusters can be among the candidates
+    places = cut(places.where(F.col("cluster") < limit))
+
+    answers = hits.unionByName(near).unionByName(whole).join(places, by)
+    is_street = F.col("kind") == "street"
+    count = F.concat(F.lit(" ("), F.col("door_count").cast("string"), F.lit(" doors)"))
+    several = F.when(F.col("door_count") > 1, count).otherwise("")
+    label = F.when(is_street, F.concat("f.street", count, "hint")).otherwise(F.concat("f.number", F.lit(" "), "f.street", several, "hint"))
+    own_score = F.when(is_street, F.col("score") * 0.9 - 0.01 * F.col("cluster")).otherwise(F.col("score") - 0.01 * F.col("cluster"))
+    answers = answers.select("qid", "street_norm", "score", "near", "cluster", "match_type", label.alias("label"), "lat", "lon", "f.street", F.when(~is_street, F.col("f.number")).alias("number"), "door_count", own_score.alias("own"))
 
     order = Window.partitionBy("qid").orderBy(F.desc("own"), F.desc("score"), "street_norm", "near", "cluster")
-    ranked = numbered.unionByName(streets).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    ranked = answers.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).withColumnRenamed("qid", "ask").drop("street_norm")
+    ranked = ranked.join(asked_once.select("ask", F.col("number").alias("a_number"), F.col("street").alias("a_street")), "ask")
+    every = queries.select("qid", "q").join(texts.select("q", F.col("number").alias("q_number"), F.col("street").alias("q_street")), "q").drop("q")
+    ranked = every.join(ranked, F.col("q_number").eqNullSafe(F.col("a_number")) & F.col("q_street").eqNullSafe(F.col("a_street")))
     return ranked.select("qid", "rank", "label", "lat", "lon", "street", "number", "door_count", "match_type", F.bround("own", 3).alias("score"))
 
 
