@@ -25,7 +25,7 @@ def project(lat: Column, lon: Column, a_lat: Column, a_lon: Column, b_lat: Colum
     dx, dy = (b_lon - lon) * k - ax, (b_lat - lat) - ay
     square = dx * dx + dy * dy
     t = F.when(square == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / F.nullif(square, F.lit(0.0)))))
-    return F.struct((F.hypot(ax + t * dx, ay + t * dy) * DEGREE_M).alias("offset_m"), (a_lat + t * (b_lat - a_lat)).alias("lat"), (a_lon + t * (b_lon - a_lon)).alias("lon"))
+    return F.struct((F.sqrt(F.pow(ax + t * dx, F.lit(2)) + F.pow(ay + t * dy, F.lit(2))) * DEGREE_M).alias("offset_m"), (a_lat + t * (b_lat - a_lat)).alias("lat"), (a_lon + t * (b_lon - a_lon)).alias("lon"))
 
 
 def node(x: Column) -> Column:
