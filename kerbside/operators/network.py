@@ -188,10 +188,13 @@ def nearest_edge(points: DataFrame, edges: DataFrame, id_columns: list[str], ord
 
 
 def _nearest_in_cells(points: DataFrame, edges: DataFrame, id_columns: list[str], order: list[str], keep: list[str], same: list[str], metres: float, size: float) -> DataFrame:
-    low, high = F.least("a_lat", "b_lat"), F.greatest("a_lat", "b_lat")
-    west, east = F.least("a_lon", "b_lon"), F.greatest("a_lon", "b_lon")
-    pad = geo.pad_lon(metres, F.greatest(F.abs("a_lat"), F.abs("b_lat")))
-    dealt = edges.withColumn("cy", F.explode(geo.cells_between(low - geo.pad_lat(metres), high + geo.pad_lat(metres), size))).withColumn("cx", F.explode(geo.cells_between(west - pad, east + pad, size)))
+    dealt = edges.withColumn("cy", F.explode(geo.cells_between(F.least("a_lat", "b_lat") - geo.pad_lat(metres), F.greatest("a_lat", "b_lat") + geo.pad_lat(metres), size)))
+    # of each row of cells those that the edge crosses there: the box of a long slanting edge holds far more
+    slack, rise = geo.pad_lat(metres), F.col("b_lat") - F.col("a_lat")
+    shares = [F.greatest(F.lit(0.0), F.least(F.lit(1.0), (edge - F.col("a_lat")) / F.nullif(rise, F.lit(0.0)))) for edge in (F.col("cy") * size - slack - 1e-9, (F.col("cy") + 1) * size + slack + 1e-9)]
+    crossed = [F.when(F.abs(rise) < 1e-7, F.col(end)).otherwise(F.col("a_lon") + share * (F.col("b_lon") - F.col("a_lon"))) for end, share in zip(("a_lon", "b_lon"), shares, strict=True)]
+    pad = geo.pad_lon(metres, F.greatest(F.abs("a_lat"), F.abs("b_lat"))) + 1e-9
+    dealt = dealt.withColumn("cx", F.explode(geo.cells_between(F.least(*crossed) - pad, F.greatest(*crossed) + pad, size)))
     own = points.select(*id_columns, *[s for s in same if s not in id_columns], "lat", "lon", geo.cell(F.col("lat"), size).alias("cy"), geo.cell(F.col("lon"), size).alias("cx"))
     need = [*same, "cy", "cx"]
     ends = ("a_lat", "a_lon", "b_lat", "b_lon")

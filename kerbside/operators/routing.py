@@ -22,12 +22,10 @@ _SNAP = ["a_y", "a_x", "b_y", "b_x", "offset_m", "snap_lat", "snap_lon", "to_a_m
 
 
 def _edges_near(boxes: DataFrame, key: list[str], edges: DataFrame) -> DataFrame:
-    """Edges whose lower-left cell may matter to a box (s, n, w, e): key, a_y .. b_x, length, ends in degrees."""
-    low, west = F.least("a_lat", "b_lat"), F.least("a_lon", "b_lon")
-    high, east = F.greatest("a_lat", "b_lat"), F.greatest("a_lon", "b_lon")
-    held = edges.withColumn("cy", F.explode(geo.cells_between(low, high, CELL))).withColumn("cx", F.explode(geo.cells_between(west, east, CELL)))
+    """Edges with both ends in a box (s, n, w, e), and others near it: key, a_y .. b_x, length, ends in degrees. An edge is held by the cell of its end a."""
+    held = edges.withColumns({"cy": geo.cell(F.col("a_lat"), CELL), "cx": geo.cell(F.col("a_lon"), CELL)})
     dealt = boxes.withColumn("cy", F.explode(geo.cells_between(F.col("s"), F.col("n"), CELL))).withColumn("cx", F.explode(geo.cells_between(F.col("w"), F.col("e"), CELL)))
-    return dealt.join(held, ["cy", "cx"]).dropDuplicates([*key, "a_y", "a_x", "b_y", "b_x"])
+    return dealt.join(held, ["cy", "cx"])
 
 
 def reach(hubs: DataFrame, edges: DataFrame, snaps: DataFrame) -> DataFrame:
@@ -83,8 +81,12 @@ def routes(requests: DataFrame, edges: DataFrame, widen: float = 4.0, labels: Da
     size B is shortest if it is no longer than B; if not, or if none is found, the
     request is tried again on a larger ellipse, until it holds all edges. Requests
     without a route on the first ellipse are looked up in ``labels`` (made if none
-    are given): those whose ends are not connected go no further.
+    are given): those whose ends are not connected go no further. Requests between
+    the same two places are searched once.
     """
+    places = ["from_lat", "from_lon", "to_lat", "to_lon"]
+    asked = requests.select("route_id", *places)
+    requests = cut(asked.groupBy(*places).agg(F.min("route_id").alias("route_id")))
     ends = [network.edge_snaps(requests.select("route_id", F.col(f"{e}_lat").alias("lat"), F.col(f"{e}_lon").alias("lon")), edges, ["route_id"]).toDF("route_id", *[f"{e[0]}_{c}" for c in ("a_y", "a_x", "b_y", "b_x", "offset_m", "snap_lat", "snap_lon", "to_a_m", "to_b_m")]) for e in ("from", "to")]
     crow = geo.haversine(*(F.col(c) for c in ("from_lat", "from_lon", "to_lat", "to_lon")))
     inner = geo.haversine(*(F.col(c) for c in ("f_snap_lat", "f_snap_lon", "t_snap_lat", "t_snap_lon")))
@@ -99,11 +101,12 @@ def routes(requests: DataFrame, edges: DataFrame, widen: float = 4.0, labels: Da
     kind = requests.schema["route_id"].dataType.simpleString()
     carried = ["bound", "f_a_y", "f_a_x", "f_b_y", "f_b_x", "f_to_a_m", "f_to_b_m", "t_a_y", "t_a_x", "t_b_y", "t_b_x", "t_to_a_m", "t_to_b_m"]
 
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        h = group.iloc[0]
+    def search(request: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
+        h = request.iloc[0]
         fa, fb, ta, tb = (h.f_a_y, h.f_a_x), (h.f_b_y, h.f_b_x), (h.t_a_y, h.t_a_x), (h.t_b_y, h.t_b_x)
         goal = (1 << 62, 0)  # sorts with nodes, and is none
-        links = [((r.a_y, r.a_x), (r.b_y, r.b_x), r.length_m) for r in group.itertuples()]
+        ay, ax, by, bx = (group[c].tolist() for c in ("a_y", "a_x", "b_y", "b_x"))
+        links = list(zip(zip(ay, ax, strict=True), zip(by, bx, strict=True), group["length_m"].tolist(), strict=True))
         links += [(ta, goal, h.t_to_a_m), (tb, goal, h.t_to_b_m)]
         first = {fa: h.f_to_a_m}
         first[fb] = min(h.f_to_b_m, first.get(fb, math.inf))
@@ -127,12 +130,13 @@ def routes(requests: DataFrame, edges: DataFrame, widen: float = 4.0, labels: Da
         mid_lat, mid_lon = (F.col("f_snap_lat") + F.col("t_snap_lat")) / 2, (F.col("f_snap_lon") + F.col("t_snap_lon")) / 2
         pad_y = span * 1.01 / geo.DEGREE_M
         pad_x = span * 1.02 / geo.DEGREE_M / F.cos(F.radians(F.least(F.abs(mid_lat) + pad_y, F.lit(89.0))))
-        boxes = left.select("route_id", *carried, "f_snap_lat", "f_snap_lon", "t_snap_lat", "t_snap_lon", F.greatest(mid_lat - pad_y, F.lit(extent["s"])).alias("s"), F.least(mid_lat + pad_y, F.lit(extent["n"])).alias("n"), F.greatest(mid_lon - pad_x, F.lit(extent["w"])).alias("w"), F.least(mid_lon + pad_x, F.lit(extent["e"])).alias("e")).where("s <= n and w <= e")
+        boxes = left.select("route_id", "bound", "f_snap_lat", "f_snap_lon", "t_snap_lat", "t_snap_lon", F.greatest(mid_lat - pad_y, F.lit(extent["s"])).alias("s"), F.least(mid_lat + pad_y, F.lit(extent["n"])).alias("n"), F.greatest(mid_lon - pad_x, F.lit(extent["w"])).alias("w"), F.least(mid_lon + pad_x, F.lit(extent["e"])).alias("e")).where("s <= n and w <= e")
         near = _edges_near(boxes, ["route_id"], slim)
         through = [geo.haversine(F.col("f_snap_lat"), F.col("f_snap_lon"), F.col(f"{e}_lat"), F.col(f"{e}_lon")) + geo.haversine(F.col(f"{e}_lat"), F.col(f"{e}_lon"), F.col("t_snap_lat"), F.col("t_snap_lon")) for e in "ab"]
         # the request's own edges count wherever they lie
         near = near.where(F.greatest(*through) <= F.col("bound") + 1)
-        tried = cut(near.select("route_id", *carried, "a_y", "a_x", "b_y", "b_x", "length_m").groupBy("route_id").applyInPandas(search, f"route_id {kind}, network_m double, via array<struct<y:bigint,x:bigint>>"))
+        near = near.select(F.col("route_id").alias("of"), "a_y", "a_x", "b_y", "b_x", "length_m")
+        tried = cut(left.select("route_id", *carried).groupBy("route_id").cogroup(near.groupBy("of")).applyInPandas(search, f"route_id {kind}, network_m double, via array<struct<y:bigint,x:bigint>>"))
         done = left.join(tried, "route_id").where((F.col("network_m") <= F.col("bound")) & (F.col("network_m") < float("inf")))
         done = cut(done)
         found = done if found is None else found.unionByName(done)
@@ -147,4 +151,5 @@ def routes(requests: DataFrame, edges: DataFrame, widen: float = 4.0, labels: Da
     points = F.concat(F.array(point(F.col("from_lat"), F.col("from_lon")), point(F.col("f_snap_lat"), F.col("f_snap_lon"))), via, F.array(point(F.col("t_snap_lat"), F.col("t_snap_lon")), point(F.col("to_lat"), F.col("to_lon"))))
     rows = found.withColumn("distance_m", F.col("f_offset_m") + F.col("network_m") + F.col("t_offset_m"))
     detour = F.when(F.col("crow_m") > 1, F.bround(F.col("distance_m") / F.col("crow_m"), 2)).otherwise(F.lit(1.0))
-    return rows.select("route_id", "distance_m", geo.walk_minutes(F.col("distance_m")).alias("minutes"), "crow_m", detour.alias("detour"), points.alias("points"))
+    rows = rows.select(*places, "distance_m", geo.walk_minutes(F.col("distance_m")).alias("minutes"), "crow_m", detour.alias("detour"), points.alias("points"))
+    return asked.join(rows, places).select("route_id", "distance_m", "minutes", "crow_m", "detour", "points")
