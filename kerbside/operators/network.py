@@ -8,6 +8,8 @@ point to its own, which makes a distance join an equi-join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,9 +89,9 @@ def named(ways: DataFrame) -> DataFrame:
     return ways.where((F.coalesce(tag("name"), F.lit("")) != "") & is_walkable())
 
 
-def intersections(ways: DataFrame) -> DataFrame:
-    """Nodes shared by streets of different normalised names."""
-    points = named(ways).select(text.normalise_street(tag("name")).alias("street_norm"), F.explode("geometry").alias("p"))
+def intersections(ways: DataFrame, street: Callable[[Column], Column] = text.normalise_street) -> DataFrame:
+    """Nodes shared by streets of different names, as ``street`` tells them apart."""
+    points = named(ways).select(street(tag("name")).alias("street_norm"), F.explode("geometry").alias("p"))
     return points.select("street_norm", geo.node(F.col("p.lat")).alias("y"), geo.node(F.col("p.lon")).alias("x")).groupBy("y", "x").agg(F.count_distinct("street_norm").alias("streets")).where("streets > 1")
 
 
@@ -104,7 +106,7 @@ def _five_digits(y: pd.Series, x: pd.Series) -> pd.Series:
     return pd.Series([f"{p / 1e7:.5f},{q / 1e7:.5f}" for p, q in zip(y, x, strict=True)], dtype=object)
 
 
-def span_edges(ways: DataFrame) -> DataFrame:
+def span_edges(ways: DataFrame, street: Callable[[Column], Column] = text.normalise_street) -> DataFrame:
     """Every segment of a named street with the span it belongs to: a maximal run between intersections.
 
     An unbroken node is on one street only, so spans are the connected components
@@ -112,10 +114,12 @@ def span_edges(ways: DataFrame) -> DataFrame:
     intersections is one by itself. ``edge_ord`` is the place in the extract (way,
     then segment), ``span_ord`` orders the spans of a street: by their lowest
     segment, then by the first. An id is made of the street and the lowest node;
-    spans that share it are numbered.
+    spans that share it are numbered. ``street`` makes the key of a street of its
+    name. Normalised names take four digits for a postcode: where streets are told
+    apart by such numbers alone, another key is needed.
     """
-    breaks = intersections(ways).select("y", "x", F.lit(True).alias("broken"))
-    s = segments(named(ways)).withColumn("street_norm", text.normalise_street(F.col("name")))
+    breaks = intersections(ways, street).select("y", "x", F.lit(True).alias("broken"))
+    s = segments(named(ways)).withColumn("street_norm", street(F.col("name")))
     for e in "ab":
         s = s.join(breaks.toDF(f"{e}_y", f"{e}_x", f"{e}_break"), [f"{e}_y", f"{e}_x"], "left").withColumn(e, node_number(F.col(f"{e}_y"), F.col(f"{e}_x")))
         s = s.withColumn(f"{e}_run", F.when(F.col(f"{e}_break").isNull(), F.col(e)))

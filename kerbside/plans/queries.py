@@ -493,7 +493,7 @@ done AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY place, k) AS nt
 SELECT CASE WHEN nth = 1 THEN base ELSE base || '+' || nth END AS span_id, CAST(edge_count AS INTEGER) AS edge_count, round(m, 2) AS length_m, top.h AS highway, array_to_string(used, ',') AS way_ids FROM done""")
 def town_spans(spark, sf_dir):
     """Spans of the growing town, with their ids and the ways they use; one street of it is as long as the table."""
-    s = network.spans(network.span_edges(town.ways(spark, sf_dir)))
+    s = network.spans(network.span_edges(town.ways(spark, sf_dir), F.lower))
     return s.select("span_id", "edge_count", F.round("length_m", 2).alias("length_m"), "highway", F.array_join(F.col("way_ids").cast("array<string>"), ",").alias("way_ids"))
 
 
