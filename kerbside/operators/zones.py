@@ -1,16 +1,17 @@
 """The whole district cut into connected zones of about so many doors.
 
-The bisection goes level by level: one job splits all groups of a level along
-each group's longer axis. The cut is found by selection: histograms of doors tell
-in which bin it lies, and only the faces of that bin are put in order. Depth grows
-with the logarithm of the number of zones.
+The bisection goes level by level while groups are large: one job splits all groups
+of a level along each group's longer axis. The cut is found by selection: histograms
+of doors tell in which bin it lies, and only the faces of that bin are put in order.
+Groups that one task can put in order get the rest of their cuts in one job.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions import geo, text
@@ -20,7 +21,7 @@ from kerbside.runtime import cut
 DEFAULT_TARGET, LEAST_TARGET, MOST_TARGET = 100, 20, 2000
 NEAR_M = 250.0
 PALETTE, BOX_PAD = 8, 0.0015
-#: Faces around a cut that are ordered in one task, and bins of a histogram.
+#: Faces around a cut, or of a group, that are ordered in one task, and bins of a histogram.
 MOST_ORDERED, BINS = 20_000, 256
 #: Zones that are coloured in one task; more are coloured in rounds.
 MOST_COLOURED = 4096
@@ -39,7 +40,7 @@ def _narrowed(rows: DataFrame, leaves: DataFrame, most: int, bins: int) -> DataF
         inside = F.col("k1").between(F.col("lo1"), F.col("hi1")) & F.col("k2").between(F.col("lo2"), F.col("hi2"))
         if key == "k2" and not state.where(F.col("n") > most).isEmpty():
             # only ranges of one value of k1 are still as large
-            ends = rows.join(state.where(F.col("n") > most), "leaf").where(inside).groupBy("leaf").agg(F.min("k2").alias("low"), F.max("k2").alias("high"))
+            ends = rows.join(F.broadcast(state.where(F.col("n") > most)), "leaf").where(inside).groupBy("leaf").agg(F.min("k2").alias("low"), F.max("k2").alias("high"))
             state = cut(state.join(ends, "leaf", "left").withColumns({"lo2": F.coalesce("low", "lo2"), "hi2": F.coalesce("high", "hi2")}).drop("low", "high"))
         while True:
             wide = (F.col("n") > most) & (F.col(lo) < F.col(hi))
@@ -47,7 +48,7 @@ def _narrowed(rows: DataFrame, leaves: DataFrame, most: int, bins: int) -> DataF
             if open_.isEmpty():
                 break
             bin_ = F.least(F.lit(bins - 1), F.floor((F.col(key) - F.col(lo)) / (F.col(hi) - F.col(lo)) * bins))
-            found = rows.join(open_, "leaf").where(inside).groupBy("leaf", bin_.alias("bin")).agg(F.sum("door_count").alias("doors"), F.count("*").alias("m"), F.min(key).alias("low"), F.max(key).alias("high"))
+            found = rows.join(F.broadcast(open_), "leaf").where(inside).groupBy("leaf", bin_.alias("bin")).agg(F.sum("door_count").alias("doors"), F.count("*").alias("m"), F.min(key).alias("low"), F.max(key).alias("high"))
             before = F.coalesce(F.sum("doors").over(Window.partitionBy("leaf").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
             found = found.withColumn("before", before).join(open_.select("leaf", "share", "base"), "leaf").where((F.col("bin") == 0) | (F.col("base") + F.col("before") < F.col("share")))
             # the last bin before which the doors do not reach the share
@@ -64,42 +65,61 @@ def split(faces: DataFrame, target: int, most: int = MOST_ORDERED, bins: int = B
     face before which the doors reach its left share, never leaving a side empty.
     Faces are ordered by the axis of the cut, equal ones as on the level above:
     by k1, the last axis, k2, the other one if it has been cut too, then street,
-    number, side and id. Only the faces around a cut are ever put in order.
+    number, side and id. Groups of more than ``most`` faces are cut level by level,
+    and only the faces around a cut are put in order; a group that is down to
+    ``most`` faces gets all its further cuts at once.
     """
     if target < 1:
         raise ValueError("target must be at least 1")
     place = F.struct("street", "house", "from_number", "side", "blockface_id")
     rows = faces.withColumns({"leaf": F.lit(""), "house": text.natural_key(F.col("from_number"))["n"], "k1": F.lit(0.0), "k2": F.lit(0.0), "last": F.lit("")})
+    columns = [*rows.columns]
+    rows = cut(rows)
     while True:
         box = rows.groupBy("leaf").agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"), F.sum("door_count").alias("doors"), F.count("*").alias("size"))
         box = box.withColumn("parts", F.greatest(F.lit(1), F.bround(F.col("doors") / target, 0).cast("int"))).where((F.col("parts") > 1) & (F.col("size") > 1))
         axis = geo.longer_axis(*(F.col(c) for c in "snwe"))
         share = F.col("doors") * F.floor(F.col("parts") / 2) / F.col("parts")
         ends = [F.when(F.col("axis") == "lat", F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("s", "w", "lo1"), ("n", "e", "hi1"))]
+        # a row for each group: never more than there are groups of some hundred doors left to cut
         box = cut(box.withColumn("axis", axis).select("leaf", "axis", share.alias("share"), "size", *ends))
-        if box.isEmpty():
-            return rows.drop("last")
-        new = rows.join(box.select("leaf", "axis"), "leaf", "left")
+        large = box.where(F.col("size") > most)
+        if large.isEmpty():
+            return _finished(rows, box.select("leaf"), target, place).drop("last")
+        new = rows.join(F.broadcast(large.select("leaf", "axis", F.col("hi1").alias("top"))), "leaf", "left")
         value = F.when(F.col("axis") == "lat", F.col("lat")).otherwise(F.col("lon"))
         kept = F.col("axis").isNull() | (F.col("last") == F.col("axis"))
         new = new.withColumns({"k2": F.when(kept | (F.col("last") == ""), F.col("k2")).otherwise(F.col("k1")), "k1": F.when(kept, F.col("k1")).otherwise(value), "last": F.coalesce("axis", "last")})
-        new = cut(new)
         open_ = new.where("axis is not null")
-        state = _narrowed(open_.select("leaf", "k1", "k2", "door_count"), box, most, bins)
+        state = _narrowed(open_.select("leaf", "k1", "k2", "door_count"), large, most, bins)
         # the last face of a leaf is always on the right
-        final = open_.groupBy("leaf").agg(F.max(F.struct("k1", "k2", place.alias("p"))).alias("final"))
-        open_ = open_.join(state.join(final, "leaf"), "leaf")
+        final = open_.where(F.col("k1") == F.col("top")).groupBy("leaf").agg(F.max(F.struct("k1", "k2", place.alias("p"))).alias("final"))
+        open_ = open_.join(F.broadcast(state.join(final, "leaf")), "leaf")
         past = (F.col("k1") > F.col("hi1")) | ((F.col("k1") == F.col("hi1")) & (F.col("k2") > F.col("hi2")))
         inside = F.col("k1").between(F.col("lo1"), F.col("hi1")) & F.col("k2").between(F.col("lo2"), F.col("hi2"))
         around = open_.where(inside)
         running = F.sum("door_count").over(Window.partitionBy("leaf").orderBy("k1", "k2", place)) - F.col("door_count")
         left = (F.col("base") + running < F.col("share")) & (F.struct("k1", "k2", place.alias("p")) != F.col("final"))
         cut_ = around.withColumn("step", F.when(left, "0").otherwise("1")).unionByName(open_.where(~inside).withColumn("step", F.when(past, "1").otherwise("0")))
-        columns = [*rows.columns]
         done = cut_.withColumn("leaf", F.concat("leaf", "step")).select(*columns)
         rows = cut(new.where("axis is null").select(*columns).unionByName(done))
 
 
+def _finished(rows: DataFrame, leaves: DataFrame, target: int, place: Column) -> DataFrame:
+    """Rows with all further cuts of these leaves, each of which one task can put in order."""
+    columns = rows.columns
+    ranked = rows.join(F.broadcast(leaves), "leaf", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("leaf").orderBy("k1", "k2", place)))
+
+    def bisect(leaf: pa.Table) -> pa.Table:
+        leaf = leaf.sort_by("rank")
+        paths, k1, k2 = kernels.bisected(*(leaf[c].to_numpy() for c in ("lat", "lon", "door_count", "k1", "k2")), leaf["last"][0].as_py(), target)
+        found = {"leaf": pa.array([leaf["leaf"][0].as_py() + p for p in paths], pa.string()), "k1": pa.array(k1), "k2": pa.array(k2)}
+        return pa.table([found.get(c, leaf[c]) for c in columns], names=columns)
+
+    cut_ = ranked.groupBy("leaf").applyInArrow(bisect, rows.schema)
+    return cut(rows.join(F.broadcast(leaves), "leaf", "left_anti").unionByName(cut_))
+
+
 def adjacency(nodes: list[list], lat: np.ndarray, lon: np.ndarray, metres: float = NEAR_M) -> list[set[int]]:
     """Which faces touch: they share a node, or their centroids are near."""
     near: list[set[int]] = [set() for _ in nodes]
