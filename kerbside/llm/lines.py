@@ -44,7 +44,7 @@ import gc
 import random
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kerbside.llm.components import components
@@ -70,11 +70,18 @@ _SHINGLE = rf"(?s)(?=(.{{{NARROW}}}))"
 _CONTEXT = rf"(?s)(?=([^ ]*+ *+.{{0,{NARROW - 1}}}+))(?:[^ ]++ *+| ++)"
 
 
+def _sweep(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files and checkpoints that nothing refers to any more."""
+    # its listeners hold the last query, and so its files, until another one has ended
+    spark.range(1).collect()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _released(df: DataFrame) -> DataFrame:
-    """Cut the lineage, and let Spark drop the shuffle files of what came before."""
+    """Cut the lineage, and drop the files of what came before."""
     df = cut(df)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    _sweep(df.sparkSession)
     return df
 
 
@@ -153,7 +160,7 @@ def candidates(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFram
     few = shared.where(F.col("m") <= crowd).select("k", "id", "kind").unionByName(both.where(F.col("m") <= crowd).select("k", "id", "kind"))
     met = _released(_pairs(few, sigs, alike).distinct())
     packed = both.where(F.col("m") > crowd).select("id").unionByName(sigs.where(F.size("sig") < LEAST).select("id")).distinct()
-    pool = cut(_own_lines(docs).join(packed, "id", "left_semi").dropDuplicates(["id"]))
+    pool = _released(_own_lines(docs).join(packed, "id", "left_semi").dropDuplicates(["id"]))
     fine, crowds = _fine_candidates(pool, crowd)
     return met.unionByName(fine).distinct(), crowds
 
@@ -193,7 +200,7 @@ def verified(lines: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY)
     each line, counted once a line, all that is left is to look up the shingles
     of such contexts.
     """
-    counted = cut(lines.join(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "id", "left_semi").select("id", "line", F.size(F.array_distinct(F.regexp_extract_all("line", F.lit(_SHINGLE), F.lit(1)))).alias("n")))
+    counted = _released(lines.join(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "id", "left_semi").select("id", "line", F.size(F.array_distinct(F.regexp_extract_all("line", F.lit(_SHINGLE), F.lit(1)))).alias("n")))
     sizes = counted.select("id", "n")
     fit = pairs.join(sizes.toDF("a", "p"), "a").join(sizes.toDF("b", "q"), "b").where(F.least("p", "q") >= similarity * F.greatest("p", "q") - 1e-9)
     both = fit.join(counted.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(counted.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
@@ -216,7 +223,7 @@ def _tiled(pools: DataFrame, similarity: float) -> DataFrame:
     """
     size = pools.groupBy("pool").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum(F.size("sh")) / TILE_SHINGLES)).cast("int").alias("tiles"))
     dealt = pools.join(size, "pool").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    tiles = cut(dealt.groupBy("pool", "tiles", "rest", "tile").agg(F.collect_list(F.struct("id", "root", "sh")).alias("of")))
+    tiles = _released(dealt.groupBy("pool", "tiles", "rest", "tile").agg(F.collect_list(F.struct("id", "root", "sh")).alias("of")))
     # every tile of the rest meets every tile of the pool; two of the rest once
     left = tiles.where("rest").select("pool", F.col("tile").alias("own"), F.col("of").alias("x"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
     both = left.join(tiles.select("pool", "tile", "rest", F.col("of").alias("y")), ["pool", "tile"]).where(~F.col("rest") | (F.col("own") <= F.col("tile")))
@@ -245,7 +252,9 @@ def crowd_links(docs: DataFrame, found: DataFrame, crowds: DataFrame, similarity
 def links(docs: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
     """docs: text. Pairs a, b of line ids that are similar; enough of them to connect all that are found similar."""
     pairs, crowds = candidates(docs, crowd)
-    pairs = _released(pairs)
+    pairs = cut(pairs)
+    # only now nothing refers to the signatures and keys
+    _sweep(docs.sparkSession)
     found = _released(verified(_texts(docs, pairs), pairs, similarity))
     if crowds.isEmpty():
         return found
