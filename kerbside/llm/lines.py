@@ -6,7 +6,8 @@ line without a character other than blanks and tabs is blank and never touched.
 
 1. Signatures. A line is signed by the ``LEAST`` smallest of its window hashes: of more
    than 100 characters, runs of three words where these have up to 10 characters on
-   average and windows of 16 characters where they have 7.5 or more; windows of 10
+   average and windows of 16 characters where they have 7.5 or more (from 25 words on
+   windows that start with a word, up to 45 words all windows); windows of 10
    characters in a line of 20 to 125, windows of 5 in one of up to 30. Similar lines
    have a kind in common, as the kinds overlap: by a quarter in length, by a third in
    characters a word.
@@ -22,9 +23,13 @@ line without a character other than blanks and tabs is blank and never touched.
    a group of copies is connected by as many pairs as it has lines, and all
    its lines go on to the next level, whose keys of more minima tell lines apart
    that only share a passage. No key is dropped, and none forms all pairs of a crowd.
-3. Candidates are verified by exact Jaccard similarity on the whole lines. Only
-   shingles around differing words are looked up in the other line: all others are
-   shared.
+3. Candidates are verified by exact Jaccard similarity on the whole lines. The texts of
+   candidates are fetched once, with the number of their shingles and the ``SKETCH``
+   smallest shingle hashes. Pairs of which these show less than ``LIKELY`` of the
+   similarity asked for are left out (a pair of similarity 0.8 is with a probability of
+   1 in 100,000). Of the others one line's contexts (a word and what follows
+   it) that the other has not are taken to shingles, and these looked up: with both
+   numbers of shingles the shared ones of one side give the similarity.
 4. Pools are cut into tiles of bounded size; a row holds two tiles and puts out the
    links between lines of different components, by exact Jaccard similarity of their
    sets of shingle hashes. What one component holds already is not compared again.
@@ -58,6 +63,8 @@ WINDOWS = {5: (5, 30), 10: (20, 125)}
 LONG = 100
 #: Long lines of up to so many characters a word on average are signed by word runs, those of at least so many by windows of so many characters.
 RUN_WORDS, WINDOW_WORDS, WINDOW = 10, 7.5, 16
+#: Of those, lines of up to so many words take the windows at all characters, lines of at least so many those at the starts of words, a kind of its own.
+FEW_WORDS, MANY_WORDS, STARTS = 45, 25, 17
 #: Minima of the fine shingles, in how many of them candidates agree, and the keys by level: number, and minima of each.
 BINS, AGREE = 16, 8
 LEVELS = ((16, 4), (24, 8))
@@ -65,6 +72,8 @@ LEVELS = ((16, 4), (24, 8))
 TILE, TILE_SHINGLES = 64, 40_000
 #: A character other than blanks and tabs.
 VISIBLE = r"[^\x20\x09-\x0D]"
+#: Smallest shingle hashes of a candidate, and the share of the asked similarity that they must show.
+SKETCH, LIKELY = 32, 0.625
 _SHINGLE = rf"(?s)(?=(.{{{NARROW}}}))"
 #: A word, the blanks after it, and the characters that a shingle from there can reach.
 _CONTEXT = rf"(?s)(?=([^ ]*+ *+.{{0,{NARROW - 1}}}+))(?:[^ ]++ *+| ++)"
@@ -99,15 +108,16 @@ def signatures(docs: DataFrame) -> DataFrame:
     """id, kind and sig, the smallest window hashes in order, of each distinct line; one row a kind of windows."""
     line, words, size = F.col("line"), F.col("words"), F.length("line")
 
-    def windows(n: int) -> Column:
-        return F.transform(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)), lambda g: F.xxhash64(g))
+    def windows(n: int, after: str = "") -> Column:
+        return F.transform(F.regexp_extract_all(line, F.lit(rf"(?s){after}(?=(.{{{n}}}))"), F.lit(1)), lambda g: F.xxhash64(g))
 
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
-    kinds = {3: F.when((size > LONG) & (size <= RUN_WORDS * F.size(words)), runs), WINDOW: F.when((size > LONG) & (size >= WINDOW_WORDS * F.size(words)), windows(WINDOW))}
+    runs = F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+    wide = (size > LONG) & (size >= WINDOW_WORDS * F.size(words))
+    kinds = {3: F.when((size > LONG) & (size <= RUN_WORDS * F.size(words)), runs), WINDOW: F.when(wide & (F.size(words) <= FEW_WORDS), windows(WINDOW)), STARTS: F.when(wide & (F.size(words) >= MANY_WORDS), windows(WINDOW, "(?<![^ ])"))}
     kinds |= {n: F.when(size.between(lo, hi), windows(n)) for n, (lo, hi) in WINDOWS.items()}
     rows = _own_lines(docs).select("id", "line", F.split("line", " ").alias("words"))
     rows = rows.select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), h.alias("h")) for n, h in kinds.items()])).alias("of")).where("of.h is not null")
-    rows = rows.select("id", "of.kind", F.slice(F.sort_array(F.array_distinct("of.h")), 1, LEAST).alias("h")).select("id", "kind", *[F.get("h", F.lit(k)).alias(f"s{k}") for k in range(LEAST)])
+    rows = rows.select("id", "of.kind", F.slice(F.array_distinct(F.slice(F.sort_array("of.h"), 1, 4 * LEAST)), 1, LEAST).alias("h")).select("id", "kind", *[F.get("h", F.lit(k)).alias(f"s{k}") for k in range(LEAST)])
     # copies of a line have equal hashes
     rows = rows.groupBy("id", "kind").agg(*[F.min(f"s{k}").alias(f"s{k}") for k in range(LEAST)])
     return rows.select("id", "kind", F.array_compact(F.array(*[f"s{k}" for k in range(LEAST)])).alias("sig"))
@@ -133,7 +143,7 @@ def _agree(x: str, y: str) -> Column:
 def _shared(keys: DataFrame) -> DataFrame:
     """keys: k and what has it. Those rows whose key more than one has, with their number m. Counts are partial before the shuffle, and Spark can split the join."""
     counts = keys.groupBy("k").agg(F.count("*").alias("m")).where("m > 1")
-    return keys.join(counts, "k")
+    return keys.join(counts.hint("shuffle_hash"), "k")
 
 
 def _pairs(few: DataFrame, sigs: DataFrame, alike) -> DataFrame:
@@ -145,7 +155,7 @@ def _pairs(few: DataFrame, sigs: DataFrame, alike) -> DataFrame:
 
 
 def candidates(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs a < b of line ids worth verifying; and the crowds of the last level, as pairs of each line and its crowd's first."""
+    """Distinct pairs a < b of line ids that meet at window hashes; and the ids of lines that are to meet at fine keys."""
     sigs = _released(signatures(docs))
     # equal windows of two kinds are two keys
     shared = _released(_shared(sigs.select("id", "kind", F.explode("sig").alias("k")).withColumn("k", F.col("k").bitwiseXOR(F.col("kind")))))
@@ -160,9 +170,7 @@ def candidates(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFram
     few = shared.where(F.col("m") <= crowd).select("k", "id", "kind").unionByName(both.where(F.col("m") <= crowd).select("k", "id", "kind"))
     met = _released(_pairs(few, sigs, alike).distinct())
     packed = both.where(F.col("m") > crowd).select("id").unionByName(sigs.where(F.size("sig") < LEAST).select("id")).distinct()
-    pool = _released(_own_lines(docs).join(packed, "id", "left_semi").dropDuplicates(["id"]))
-    fine, crowds = _fine_candidates(pool, crowd)
-    return met.unionByName(fine).distinct(), crowds
+    return met, cut(packed)
 
 
 def _fine_candidates(pool: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
@@ -183,37 +191,51 @@ def _fine_candidates(pool: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]
 
 
 def _contexts(line: str) -> Column:
-    return F.array_distinct(F.regexp_extract_all(line, F.lit(_CONTEXT), F.lit(1)))
+    return F.regexp_extract_all(line, F.lit(_CONTEXT), F.lit(1))
 
 
 def _absent(contexts: Column, line: Column) -> Column:
     """How many shingles of these contexts the line has not."""
-    found = F.array_distinct(F.regexp_extract_all(F.array_join(contexts, "\n"), F.lit(rf"(?=([^\n]{{{NARROW}}}))"), F.lit(1)))
-    return F.size(F.filter(found, lambda g: ~F.contains(line, g)))
+    lost = F.filter(contexts, lambda c: ~F.contains(line, c))
+    found = F.regexp_extract_all(F.array_join(lost, "\n"), F.lit(rf"(?=([^\n]{{{NARROW}}}))"), F.lit(1))
+    return F.size(F.array_distinct(F.transform(F.filter(found, lambda g: ~F.contains(line, g)), lambda g: F.xxhash64(g))))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+
+
+def described(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, line, n (distinct shingles) and least (the first halves of the SKETCH smallest shingle hashes) of the lines of these ids, each once."""
+    texts = _own_lines(docs).join(ids.distinct().hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
+    rows = texts.select("id", "line", F.array_distinct(_shingle_hashes("line")).alias("sh"))
+    return rows.select("id", "line", F.size("sh").alias("n"), F.transform(F.slice(F.sort_array("sh"), 1, SKETCH), lambda h: F.shiftright(h, 32).cast("int")).alias("least"))
+
+
+def _shingle_hashes(line: str) -> Column:
+    return F.transform(F.regexp_extract_all(line, F.lit(_SHINGLE), F.lit(1)), lambda g: F.xxhash64(g))
+
+
+def _sketched(x: str, y: str) -> Column:
+    """The similarity that the smallest hashes of both show: how many of the smallest of their union both have."""
+    smallest = F.array(F.slice(F.array_sort(F.array_union(x, y)), 1, SKETCH))
+    return F.get(F.transform(smallest, lambda u: F.size(F.array_intersect(u, F.array_intersect(x, y))) / F.size(u)), F.lit(0))
 
 
 def verified(lines: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """lines: id, line, each once; pairs: a, b. Those of at least this similarity, exactly.
+    """lines: as ``described``; pairs: a, b. Those of at least this similarity, exactly.
 
     A shingle of one line that the other has not lies in a context (a word and
     what follows it) that the other has not. So with n the distinct shingles of
     each line, counted once a line, all that is left is to look up the shingles
-    of such contexts.
+    of such contexts of one of them.
     """
-    counted = _released(lines.join(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "id", "left_semi").select("id", "line", F.size(F.array_distinct(F.regexp_extract_all("line", F.lit(_SHINGLE), F.lit(1)))).alias("n")))
-    sizes = counted.select("id", "n")
-    fit = pairs.join(sizes.toDF("a", "p"), "a").join(sizes.toDF("b", "q"), "b").where(F.least("p", "q") >= similarity * F.greatest("p", "q") - 1e-9)
-    both = fit.join(counted.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(counted.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    # bound to lambda variables, so that each is made once a pair, whatever the optimizer moves
-    own = F.array(F.struct(_contexts("x").alias("u"), _contexts("y").alias("v")))
-    lost = F.transform(own, lambda c: F.struct(_absent(F.array_except(c["u"], c["v"]), F.col("y")).alias("less"), _absent(F.array_except(c["v"], c["u"]), F.col("x")).alias("more")))
-    return both.where(F.exists(lost, lambda r: F.col("p") - r["less"] >= similarity * (F.col("p") + r["more"]) - 1e-9)).select("a", "b")
-
-
-def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id and line of the lines of these pairs, each once."""
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    return _own_lines(docs).join(needed, "id", "left_semi").dropDuplicates(["id"])
+    fit = pairs.join(lines.select(F.col("id").alias("a"), F.col("n").alias("p"), F.col("least").alias("s")), "a")
+    fit = fit.join(lines.select(F.col("id").alias("b"), F.col("n").alias("q"), F.col("least").alias("t"), F.col("line").alias("y")), "b")
+    near = (F.least("p", "q") >= similarity * F.greatest("p", "q") - 1e-9) & (_sketched("s", "t") >= LIKELY * similarity)
+    both = fit.where(near).select("a", "b", "p", "q", "y").join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
+    shared = F.col("p") - _absent(_contexts("x"), F.col("y"))
+    return both.where(shared * (1 + similarity) >= similarity * (F.col("p") + F.col("q")) - 1e-9).select("a", "b")
 
 
 def _tiled(pools: DataFrame, similarity: float) -> DataFrame:
@@ -237,28 +259,27 @@ def _tiled(pools: DataFrame, similarity: float) -> DataFrame:
     return both.select(F.inline(found)).distinct()
 
 
-def crowd_links(docs: DataFrame, found: DataFrame, crowds: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The links that ``found`` lacks to join similar lines of the last crowds (pairs id, c): exact, whatever their number."""
+def crowd_links(lines: DataFrame, found: DataFrame, crowds: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """lines: id, line. The links that ``found`` lacks to join similar lines of the last crowds (pairs id, c): exact, whatever their number."""
     pools = components(crowds).toDF("id", "pool")
     member = pools.join(components(found).toDF("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     size = member.groupBy("pool", "root").agg(F.count("*").alias("n"))
     largest = size.groupBy("pool").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
     member = cut(member.join(largest, "pool").select("id", "pool", "root", (F.col("root") != F.col("most")).alias("rest")))
-    texts = _own_lines(docs).join(member.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    hashes = F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(_SHINGLE), F.lit(1)), lambda g: F.xxhash64(g)))
-    return cut(_tiled(member.join(texts.select("id", hashes.alias("sh")), "id"), similarity))
+    return cut(_tiled(member.join(lines, "id").withColumn("sh", F.array_distinct(_shingle_hashes("line"))).drop("line"), similarity))
 
 
 def links(docs: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
     """docs: text. Pairs a, b of line ids that are similar; enough of them to connect all that are found similar."""
-    pairs, crowds = candidates(docs, crowd)
-    pairs = cut(pairs)
+    met, packed = candidates(docs, crowd)
     # only now nothing refers to the signatures and keys
     _sweep(docs.sparkSession)
-    found = _released(verified(_texts(docs, pairs), pairs, similarity))
+    lines = _released(described(docs, _ends(met).unionByName(packed)))
+    fine, crowds = _fine_candidates(lines.join(packed, "id", "left_semi").select("id", "line"), crowd)
+    found = _released(verified(lines, met.unionByName(fine).distinct(), similarity))
     if crowds.isEmpty():
         return found
-    return _released(found.unionByName(crowd_links(docs, found, crowds, similarity)))
+    return _released(found.unionByName(crowd_links(lines.select("id", "line"), found, crowds, similarity)))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -280,7 +301,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity:
     def done(some: DataFrame, gone: Column) -> DataFrame:
         parts = F.split("text", "\n")
         left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
-        kept = F.when(F.coalesce(F.size(gone), F.lit(0)) <= 0, F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
+        # bound to a lambda variable, so that a text is split once and not for each of its lines
+        joined = F.get(F.transform(F.array(parts), lambda p: F.array_join(F.transform(left, lambda i: F.get(p, i)), "\n")), F.lit(0))
+        kept = F.when(F.coalesce(F.size(gone), F.lit(0)) <= 0, F.col("text")).otherwise(joined)
         n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter(parts, lambda x: x.rlike(VISIBLE))))
         return some.select("row", n.cast("long").alias("n_lines"), F.greatest(F.coalesce(F.size(gone), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept_text"))
 
