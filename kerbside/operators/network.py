@@ -1,9 +1,10 @@
 """The street network: walkable edges, intersections, spans between them, and nearest-edge joins.
 
 Nodes are whole numbers of 1e-7 degrees, so that ways meet exactly where they
-share a node. Nearest-edge joins deal edges and points to grid cells: an edge to
-every cell its bounding box reaches when padded by the largest offset allowed, a
-point to its own, which makes a distance join an equi-join.
+share a node. Nearest-edge joins deal edges and points to tiles: an edge to every
+tile it crosses when padded by the largest offset allowed, a point to its own.
+Tiles are large, as a long edge is dealt to all along it, and are divided where
+points crowd; inside one, boxes of points are halved with the edges near them.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,8 @@ from kerbside.runtime import cut
 
 SNAP_M = 300.0
 CELL = 4e-3
+#: Degrees of the largest tiles, the points above which one is divided (by four each way), and the number of sizes.
+TILE, TILE_POINTS, TILE_SIZES = 0.2, 20_000, 4
 #: Edges of which one task finds the connected components; more are spread over tasks in rounds.
 FEW_EDGES = 100_000
 #: Metres within which the small cells answer.
@@ -32,6 +36,7 @@ WAY_SEGMENTS = 1 << 20
 BUSY_CLASSES = ("trunk", "trunk_link", "primary", "primary_link", "secondary", "secondary_link")
 BUSY_LANES, BUSY_KMH = 4, 60
 PATH = "array<array<struct<lat:double,lon:double>>>"
+_ENDS = ("a_lat", "a_lon", "b_lat", "b_lon")
 
 
 def tag(name: str) -> Column:
@@ -180,31 +185,81 @@ def nearest_edge(points: DataFrame, edges: DataFrame, id_columns: list[str], ord
     points: id columns, lat, lon (and ``same``); edges: a_lat ... b_lon, ``keep``,
     ``order``. ``same`` are columns that must be equal too; ``order`` settles ties.
 
-    The search grows: in small cells every edge within ``NEAR_M`` of a point meets
-    it, which answers nearly all points; only the rest look through large ones.
+    Without ``same``, the edges of a tile are thinned out on the way to each point,
+    and those that are left are compared exactly. With it, the search grows: in
+    small cells every edge within ``NEAR_M`` of a point meets it, which answers
+    nearly all points; only the rest look through large ones.
     """
+    points = points.select(*id_columns, *[s for s in same if s not in id_columns], "lat", "lon")
+    if not same:
+        taken = list(dict.fromkeys([*keep, *order, *_ENDS]))
+        return _best(_pairs_in_tiles(points, edges.select(*taken), metres), id_columns, order, keep, taken, metres)
     if metres <= NEAR_M:
         return _nearest_in_cells(points, edges, id_columns, order, keep, same, metres, NEAR_CELL)
-    points = points.select(*id_columns, *[s for s in same if s not in id_columns], "lat", "lon")
     close = cut(_nearest_in_cells(points, edges, id_columns, order, keep, same, NEAR_M, NEAR_CELL))
     rest = points.join(close.select(*id_columns), id_columns, "left_anti")
     return close.unionByName(_nearest_in_cells(rest, edges, id_columns, order, keep, same, metres, CELL))
 
 
-def _nearest_in_cells(points: DataFrame, edges: DataFrame, id_columns: list[str], order: list[str], keep: list[str], same: list[str], metres: float, size: float) -> DataFrame:
+def _dealt(edges: DataFrame, metres: float, size: float) -> DataFrame:
+    """Each edge to the cells (cy, cx) that come within so many metres of it."""
     dealt = edges.withColumn("cy", F.explode(geo.cells_between(F.least("a_lat", "b_lat") - geo.pad_lat(metres), F.greatest("a_lat", "b_lat") + geo.pad_lat(metres), size)))
     # of each row of cells those that the edge crosses there: the box of a long slanting edge holds far more
     slack, rise = geo.pad_lat(metres), F.col("b_lat") - F.col("a_lat")
     shares = [F.greatest(F.lit(0.0), F.least(F.lit(1.0), (edge - F.col("a_lat")) / F.nullif(rise, F.lit(0.0)))) for edge in (F.col("cy") * size - slack - 1e-9, (F.col("cy") + 1) * size + slack + 1e-9)]
     crossed = [F.when(F.abs(rise) < 1e-7, F.col(end)).otherwise(F.col("a_lon") + share * (F.col("b_lon") - F.col("a_lon"))) for end, share in zip(("a_lon", "b_lon"), shares, strict=True)]
     pad = geo.pad_lon(metres, F.greatest(F.abs("a_lat"), F.abs("b_lat"))) + 1e-9
-    dealt = dealt.withColumn("cx", F.explode(geo.cells_between(F.least(*crossed) - pad, F.greatest(*crossed) + pad, size)))
+    return dealt.withColumn("cx", F.explode(geo.cells_between(F.least(*crossed) - pad, F.greatest(*crossed) + pad, size)))
+
+
+def _pairs_in_tiles(points: DataFrame, edges: DataFrame, metres: float) -> DataFrame:
+    """Points with the edges that may be their nearest within so many metres; all nearest ones are among them."""
+    finest = TILE / 4 ** (TILE_SIZES - 1)
+    own = points.withColumns({"cy": geo.cell(F.col("lat"), finest), "cx": geo.cell(F.col("lon"), finest)})
+
+    def tile(k: int) -> list[Column]:
+        return [F.shiftright(c, 2 * (TILE_SIZES - 1 - k)) for c in ("cy", "cx")]
+
+    # the largest tile around a cell that holds few enough points
+    filled = own.groupBy("cy", "cx").agg(F.count("*").alias("n"))
+    few = [F.when(F.sum("n").over(Window.partitionBy(*tile(k))) <= TILE_POINTS, k) for k in range(TILE_SIZES - 1)]
+    filled = cut(filled.withColumn("k", F.coalesce(*few, F.lit(TILE_SIZES - 1))).drop("n"))
+    at = [F.coalesce(*[F.when(F.col("k") == k, tile(k)[i]) for k in range(TILE_SIZES)]).alias(c) for i, c in enumerate(("ty", "tx"))]
+    tiles = filled.select("cy", "cx", "k", *at)
+    dealt = None
+    for (k,) in sorted(filled.select("k").distinct().collect()):
+        # in number at most the largest tiles on earth, and sixteen for every full one
+        needed = F.broadcast(tiles.where(F.col("k") == k).select("k", F.col("ty").alias("cy"), F.col("tx").alias("cx")).distinct())
+        found = _dealt(edges, metres, TILE / 4**k).join(needed, ["cy", "cx"])
+        dealt = found if dealt is None else dealt.unionByName(found)
+    if dealt is None:
+        dealt = edges.limit(0).select("*", *[F.lit(0).cast(kind).alias(c) for c, kind in (("cy", "long"), ("cx", "long"), ("k", "int"))])
+    own = own.join(tiles, ["cy", "cx"]).select(*points.columns, "k", "ty", "tx")
+    dealt = dealt.select(*edges.columns, "k", F.col("cy").alias("ty"), F.col("cx").alias("tx"))
+    columns, others = points.columns, [c for c in edges.columns if c not in points.columns]
+
+    def near(some: pa.Table, beside: pa.Table) -> pa.Table:
+        lat, lon = (some[c].to_numpy() for c in ("lat", "lon"))
+        i, j = kernels.near_edges(lat, lon, [beside[c].to_numpy() for c in _ENDS], metres)
+        some, beside = some.select(columns).take(pa.array(i)), beside.select(others).take(pa.array(j))
+        return pa.table([*some.columns, *beside.columns], names=[*columns, *others])
+
+    schema = T.StructType([*points.schema.fields, *[edges.schema[c] for c in others]])
+    return own.groupBy("k", "ty", "tx").cogroup(dealt.groupBy("k", "ty", "tx")).applyInArrow(near, schema)
+
+
+def _nearest_in_cells(points: DataFrame, edges: DataFrame, id_columns: list[str], order: list[str], keep: list[str], same: list[str], metres: float, size: float) -> DataFrame:
+    dealt = _dealt(edges, metres, size)
     own = points.select(*id_columns, *[s for s in same if s not in id_columns], "lat", "lon", geo.cell(F.col("lat"), size).alias("cy"), geo.cell(F.col("lon"), size).alias("cx"))
     need = [*same, "cy", "cx"]
-    ends = ("a_lat", "a_lon", "b_lat", "b_lon")
-    taken = list(dict.fromkeys([*keep, *order, *ends]))
+    taken = list(dict.fromkeys([*keep, *order, *_ENDS]))
     pairs = own.join(dealt.select(*need, *[c for c in taken if c not in need]), need)
-    at = geo.project(F.col("lat"), F.col("lon"), *(F.col(c) for c in ends))
+    return _best(pairs, id_columns, order, keep, taken, metres)
+
+
+def _best(pairs: DataFrame, id_columns: list[str], order: list[str], keep: list[str], taken: list[str], metres: float) -> DataFrame:
+    """Of each point's edges the nearest, if it is within so many metres."""
+    at = geo.project(F.col("lat"), F.col("lon"), *(F.col(c) for c in _ENDS))
     best = pairs.withColumn("at", at).where(F.col("at.offset_m") <= metres)
     best = best.groupBy(*id_columns).agg(F.min(F.struct(F.col("at.offset_m").alias("offset_m"), *order, F.col("at.lat").alias("snap_lat"), F.col("at.lon").alias("snap_lon"), *[c for c in taken if c not in order])).alias("b"))
     return best.select(*id_columns, *[F.col(f"b.{c}") for c in keep], "b.offset_m", "b.snap_lat", "b.snap_lon")
