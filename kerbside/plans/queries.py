@@ -15,7 +15,7 @@ from kerbside.functions import geo, text
 from kerbside.operators import blockfaces, geocode, network, stops, territory, zones
 from kerbside.plans import reports
 from kerbside.plans.district import District
-from kerbside.runtime import prepare, table
+from kerbside.runtime import cut, prepare, table
 from kerbside.sources import district as derived
 from kerbside.sources import geojson, snapshot, town
 
@@ -410,7 +410,7 @@ def town_routes(spark, sf_dir):
     from kerbside.operators import routing
 
     trips = town.over(spark, sf_dir, _TRIPS.format(town.DOORS_SQL))
-    return routing.routes(trips, network.walk_edges(town.ways(spark, sf_dir))).select("route_id", F.bround("distance_m", 1).alias("distance_m"))
+    return routing.routes(trips, cut(network.walk_edges(town.ways(spark, sf_dir))), points=False).select("route_id", F.bround("distance_m", 1).alias("distance_m"))
 
 
 @query(f"WITH RECURSIVE {_SEGS}, trip AS ({_TRIPS.format(derived.DOORS_SQL)}), {_WALK}, {_ROUTED}")
